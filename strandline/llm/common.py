@@ -128,3 +128,12 @@ def with_texts(
 def present(df: DataFrame, name: str, kind: str) -> Column:
     """Column ``name`` as ``kind``; a null of that type where ``df`` lacks it."""
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
+def dealt_out(df: DataFrame, n: str, chunk: int = 4096) -> DataFrame:
+    """Each row ``n`` times with _copy from 0, in chunks so that no array grows
+    with ``n``."""
+    chunks = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({n} - 1) div {chunk}"))))
+    first = F.col("_chunk") * chunk
+    last = F.least(first + (chunk - 1), F.col(n) - 1)
+    return chunks.withColumn("_copy", F.explode(F.sequence(first, last))).drop("_chunk")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, quality, secrets, sharding
+from strandline.llm import bpe, mixing, quality, secrets, sharding, simhash
 from strandline.llm.common import table
 
 SHARDS = 8
@@ -28,10 +28,18 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_manifest(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality_verdicts(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -41,7 +49,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scans": op1_secret_scans,
         "op2_sharding": op2_sharding,
+        "op4_simhash": op4_simhash,
         "op6_bpe": op6_bpe,
+        "op9_mixing": op9_mixing,
         "op10_quality_rules": op10_quality_rules,
     }
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch
+from strandline.llm.common import Scratch, dealt_out
 
 # Fixed values of the published generator.
 MULTIPLIER = 2862933555777941757
@@ -122,7 +122,7 @@ def shard_manifest(
         "_before", F.coalesce(F.sum("_n").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ).join(starts, ["_shard", "_bucket"])
     first = F.col("_start") + F.col("_before")
-    return _dealt_out(placed.withColumn("_first", first), "_n").select(
+    return dealt_out(placed.withColumn("_first", first), "_n").select(
         F.col("_key").alias(key),
         F.col("_size").alias("size"),
         F.col("_crc").alias("text_crc32"),
@@ -131,12 +131,3 @@ def shard_manifest(
         (F.col("_first") + F.col("_copy")).alias("slot"),
         F.col("_grown").alias("grown_shard"),
     )
-
-
-def _dealt_out(df: DataFrame, n: str, chunk: int = 4096) -> DataFrame:
-    """Each row ``n`` times with _copy from 0, in chunks so that no array grows
-    with ``n``."""
-    chunks = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({n} - 1) div {chunk}"))))
-    first = F.col("_chunk") * chunk
-    last = F.least(first + (chunk - 1), F.col(n) - 1)
-    return chunks.withColumn("_copy", F.explode(F.sequence(first, last))).drop("_chunk")
