@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, mixing, quality, secrets, sharding, simhash
+from strandline.llm import bpe, embeddings, mixing, quality, secrets, sharding, simhash, toxicity
 from strandline.llm.common import table
 
 SHARDS = 8
@@ -28,10 +28,19 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_manifest(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op3_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_texts(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -49,14 +58,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scans": op1_secret_scans,
         "op2_sharding": op2_sharding,
+        "op3_grid_join": op3_grid_join,
         "op4_simhash": op4_simhash,
+        "op5_toxicity": op5_toxicity,
         "op6_bpe": op6_bpe,
         "op9_mixing": op9_mixing,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
+OP3_SQL = """
+WITH RECURSIVE x AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v,
+         label IS NOT NULL AND embedding IS NOT NULL
+         AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0
+         AND len(list_filter(embedding, lambda c: c <> 0)) > 0 AS ok
+  FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM (SELECT * FROM x WHERE ok) a JOIN (SELECT * FROM x WHERE ok) b
+    ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM x
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, component_id,
+       vec_id = component_id AS kept
+FROM x JOIN least ON least.a = x.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None of the operators so far can be said in SQL without a hash or a
-    model that DuckDB lacks; brute force in tests/llm stands in."""
-    return {}
+    """The others use hashes or models that DuckDB lacks; brute force in
+    tests/llm stands in."""
+    return {"op3_grid_join": OP3_SQL}
