@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, embeddings, mixing, quality, secrets, sharding, simhash, toxicity
+from strandline.llm import bpe, embeddings, mixing, pii, quality, quotes, secrets, sharding, simhash, toxicity
 from strandline.llm.common import table
 
 SHARDS = 8
 WORD_BPE = "word_bpe_49k.json"
+#: Of these queries only; whoever uses the operator brings a secret key.
+PSEUDONYM_KEY = "registered query"
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:
@@ -45,6 +47,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonym_rows(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked_messages(table(spark, sf_dir, "conversations"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -62,6 +72,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_toxicity": op5_toxicity,
         "op6_bpe": op6_bpe,
+        "op7_pii": op7_pii,
+        "op8_quotes": op8_quotes,
         "op9_mixing": op9_mixing,
         "op10_quality_rules": op10_quality_rules,
     }
