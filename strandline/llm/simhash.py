@@ -123,7 +123,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         sent = sent.join(F.broadcast(hot), F.col("cell") == F.col("hot"), "left").select(
             "fp", "cell", F.coalesce("bits", F.lit(0)).alias("bits")
         )
-        sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.col("bits")) - 1)))
+        sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("bits")) - 1)))
     else:
         sent = sent.select("fp", "cell", F.lit(0).alias("bits"), F.lit(0).alias("part"))
 
