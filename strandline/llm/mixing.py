@@ -32,7 +32,7 @@ MOST_PATTERNS = 4096
 #: Documents in a bucket of a pattern, about; and buckets of a pattern at most.
 BUCKET_ROWS, MOST_BUCKETS = 4096, 1 << 16
 #: Rows of boundary decisions that are sent to every executor at most.
-MOST_SENT = 1 << 19
+MOST_SENT = 1 << 17
 
 
 def words_of(text: Column) -> Column:
