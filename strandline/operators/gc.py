@@ -38,13 +38,13 @@ def forced(requested: DataFrame, sealed: DataFrame, most: int = MOST_EXTENTS) ->
     return requested.join(sealed.select("extent_id").distinct(), "extent_id", "left_semi").orderBy("pos").limit(most)
 
 
-def rewrite(log: DataFrame, extent_id: int, first_seq: int, now: int = NOW) -> DataFrame:
-    """New records for the live values that still lie in an extent, numbered
-    from ``first_seq``, which is beyond all others.  Each is marked as pointing
-    anew, so that a later collection sees it."""
+def rewrite(log: DataFrame, extent_id: int, seq: int, now: int = NOW) -> DataFrame:
+    """New records for the live values that still lie in an extent, one a key,
+    with a number beyond all others.  Each is marked as pointing anew, so that a
+    later collection sees it."""
     live = current(log, now).where(F.col("pointer.extent_id") == extent_id)
     return live.withColumns(
-        {"seq": F.lit(first_seq) + F.monotonically_increasing_id(), "op": F.lit(PUT), "rewritten": F.lit(True)}
+        {"seq": F.lit(seq).cast("long"), "op": F.lit(PUT), "rewritten": F.lit(True)}
     )
 
 

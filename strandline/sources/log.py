@@ -45,26 +45,21 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def puts(rows: DataFrame, first_seq: int, now: int, ttl: int = 0) -> DataFrame:
-    """Put records for ``rows`` (k, v), numbered from ``first_seq`` by key
-    without one ordering task: a key's number is its rank among these rows."""
-    return _numbered(rows.select("k", "v"), first_seq).select(
-        "k", "seq", F.lit(PUT).alias("op"), "v", expiry(now, ttl).alias("exp")
+def puts(rows: DataFrame, seq: int, now: int, ttl: int = 0) -> DataFrame:
+    """Put records for ``rows`` (k, v), all with one number: it orders a key's
+    versions, so keys of one batch may share it.  Of several values for a key
+    the greatest stays."""
+    each = rows.groupBy("k").agg(F.max("v").alias("v"))
+    return each.select("k", F.lit(seq).cast("long").alias("seq"), F.lit(PUT).alias("op"), "v", expiry(now, ttl).alias("exp"))
+
+
+def deletes(keys: DataFrame, seq: int) -> DataFrame:
+    """Delete records for ``keys`` (k), known or not, with one number."""
+    return keys.select("k").distinct().select(
+        "k", F.lit(seq).cast("long").alias("seq"), F.lit(DELETE).alias("op"), F.lit("").alias("v"), F.lit(0).cast("long").alias("exp")
     )
 
 
-def deletes(keys: DataFrame, first_seq: int) -> DataFrame:
-    """Delete records for ``keys`` (k), known or not."""
-    return _numbered(keys.select("k").distinct(), first_seq).select(
-        "k", "seq", F.lit(DELETE).alias("op"), F.lit("").alias("v"), F.lit(0).cast("long").alias("exp")
-    )
-
-
-def _numbered(rows: DataFrame, first_seq: int) -> DataFrame:
-    # a sequence must be unique and beyond all earlier ones, not gapless
-    return rows.withColumn("seq", F.lit(first_seq).cast("long") + F.monotonically_increasing_id())
-
-
 def append(log: DataFrame, path: str) -> None:
     log.select(*LOG_COLUMNS).write.mode("append").parquet(path)
 
