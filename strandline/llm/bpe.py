@@ -34,7 +34,7 @@ from strandline.llm.common import per_text, present
 
 #: What a worker remembers at most: the ids of stretches without white space
 #: of up to KNOWN_LENGTH characters, and which pairs of tokens are compatible.
-KNOWN_CHUNKS, KNOWN_LENGTH, KNOWN_PAIRS = 1 << 19, 40, 1 << 20
+KNOWN_CHUNKS, KNOWN_LENGTH, KNOWN_PAIRS = 1 << 17, 40, 1 << 18
 #: The symbol of a word's last byte is the byte's letter moved up by this.
 _LAST = 1 << 16
 _NEVER = 1 << 30

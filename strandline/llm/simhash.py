@@ -37,7 +37,7 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 #: About how many variants a cell holds; and the bits that may name cells at most.
 CELL_VARIANTS, MOST_PREFIX, LEAST_PREFIX = 1 << 20, 16, 4
 #: A task lists at most about so many variants at once.
-HELD_VARIANTS = 1 << 22
+HELD_VARIANTS = 1 << 21
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:

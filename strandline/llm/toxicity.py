@@ -32,6 +32,8 @@ FEATURES = 8192
 L2, SWAP_PENALTY, STEPS = 1e-4, 10.0, 400
 #: Swapped sentences of a labelled text, and their features, used at most.
 SWAPS, SWAP_FEATURES = 8, 512
+#: Stretches of text whose features a task remembers at most.
+KNOWN_CHUNKS = 1 << 17
 PREFIXES = (4, 5, 6)
 
 # Terms that name groups of people; a term is swapped with others of its line.
@@ -164,7 +166,7 @@ class ToxicityModel:
         class Known(dict):
             def __missing__(self, chunk: str) -> tuple[int, ...]:
                 got = tuple(f for f in word_features(chunk) if f in weights)
-                if len(self) >= 1 << 19:
+                if len(self) >= KNOWN_CHUNKS:
                     self.clear()
                 if len(chunk) <= 40:
                     self[chunk] = got
