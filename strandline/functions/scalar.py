@@ -122,3 +122,14 @@ def bloom_built(keys: DataFrame, bits: int, hashes: int) -> DataFrame:
 
 def may_contain(key: Column, places: Column, bits: int, hashes: int) -> Column:
     return F.forall(bloom_places(key, bits, hashes), lambda p: F.array_contains(places, p))
+
+
+def load_key(low: Column, tag: str, thread: Column, n: Column) -> Column:
+    """A load test's key that lies in the range beginning at ``low``: '!' sorts
+    before every digit of the next range's start."""
+    return F.concat_ws("_", F.concat(low, F.lit("!" + tag)), thread.cast("string"), n.cast("string"))
+
+
+def json_text(s: Column) -> Column:
+    """A text as a JSON string, quotes included."""
+    return F.regexp_extract(F.to_json(F.struct(s.alias("s"))), r'^\{"s":(.*)\}$', 1)

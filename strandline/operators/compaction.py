@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.operators.latest import in_range, newest, visible
@@ -26,33 +25,33 @@ def minor(log: DataFrame, low: str = "", high: str = "") -> DataFrame:
     return newest(log.where(in_range(F.col("k"), low, high)))
 
 
-def judged(log: DataFrame, low: str = "", high: str = "", now: int = NOW, is_major: bool = True) -> DataFrame:
-    """Every record with kept: whether the compaction keeps it."""
-    rank = F.row_number().over(W.partitionBy("k").orderBy(F.desc("seq")))
-    keep = (F.col("_rank") == 1) & in_range(F.col("k"), low, high)
-    if is_major:
-        keep &= visible(now)
-    return log.withColumn("_rank", rank).withColumn("kept", keep).drop("_rank")
+def _judged(log: DataFrame, low: str, high: str, now: int) -> DataFrame:
+    """All records with kept = 0, and those that a major compaction keeps once
+    more with kept = 1, so that sums of either need no ranking of whole keys."""
+    return log.withColumn("kept", F.lit(0)).unionByName(major(log, low, high, now).withColumn("kept", F.lit(1)))
 
 
 def stats(log: DataFrame, low: str = "", high: str = "", now: int = NOW) -> DataFrame:
     """One row: records in, kept and discarded, and the bytes of either."""
-    size = F.octet_length("k") + F.coalesce(F.octet_length("v"), F.lit(0))
-    rows = judged(log, low, high, now).withColumn("_size", size.cast("long"))
+    size = (F.octet_length("k") + F.coalesce(F.octet_length("v"), F.lit(0))).cast("long")
+    rows = _judged(log.withColumn("_size", size), low, high, now)
+    of = lambda kept, x: F.coalesce(F.sum(F.when(F.col("kept") == kept, x)), F.lit(0))
+    one, size = F.lit(1), F.col("_size")
     return rows.agg(
-        F.count("*").alias("n_in"),
-        F.count_if("kept").alias("n_kept"),
-        F.count_if(~F.col("kept")).alias("n_discarded"),
-        F.coalesce(F.sum(F.when(F.col("kept"), F.col("_size"))), F.lit(0)).alias("bytes_kept"),
-        F.coalesce(F.sum(F.when(~F.col("kept"), F.col("_size"))), F.lit(0)).alias("bytes_discarded"),
+        of(0, one).alias("n_in"),
+        of(1, one).alias("n_kept"),
+        (of(0, one) - of(1, one)).alias("n_discarded"),
+        of(1, size).alias("bytes_kept"),
+        (of(0, size) - of(1, size)).alias("bytes_discarded"),
     )
 
 
 def discards(log: DataFrame, low: str = "", high: str = "", now: int = NOW) -> DataFrame:
     """Bytes of dropped large values by extent; ``log`` has pointer
     (extent_id, offset, len), null for values stored in place."""
-    dropped = judged(log, low, high, now).where("not kept and pointer is not null")
-    return dropped.groupBy(F.col("pointer.extent_id").alias("extent_id")).agg(F.sum("pointer.len").alias("discarded"))
+    rows = _judged(log, low, high, now).where("pointer is not null")
+    lost = F.sum(F.when(F.col("kept") == 0, F.col("pointer.len")).otherwise(-F.col("pointer.len")))
+    return rows.groupBy(F.col("pointer.extent_id").alias("extent_id")).agg(lost.alias("discarded")).where("discarded > 0")
 
 
 def table_properties(log: DataFrame, table_id: str = "table_id") -> DataFrame:

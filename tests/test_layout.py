@@ -131,6 +131,11 @@ def test_scalars(spark):
     assert x(aggregates.average_ms(F.lit(3_000_000), F.lit(2))) == 1.5 and x(aggregates.average_ms(F.lit(0), F.lit(0))) == 0
 
 
+def test_texts(spark):
+    assert one(spark, scalar.json_text(F.lit('a"b\\c\nd\x01é'))) == '"a\\"b\\\\c\\nd\\u0001é"'
+    assert one(spark, scalar.load_key(F.lit("3fffffff"), "w", F.lit(2), F.lit(9))) == "3fffffff!w_2_9"
+
+
 def test_nearest_ranks_and_ema(spark):
     values = [5.0, 1.0, 3.0, 3.0, 9.0, -1.0, 4.0]
     df = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)] + [("none", 0, None)], "g string, i long, v double")
