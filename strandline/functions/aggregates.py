@@ -6,25 +6,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Fixed value: the weight of a new sample.
 ALPHA = 0.3
 
 
-def nearest_ranks(rows: DataFrame, group: str, value: str, percents: list[int]) -> DataFrame:
+def nearest_ranks(rows: DataFrame, group: str, value: str, percents: list[int], buckets: int = 256) -> DataFrame:
     """Percentiles that are values of the sample: element floor(p / 100 * n) in
     order, the last one at most; 0.0 for a group without values.
 
-    Values are counted before they are ranked, so a group is ranked by its
-    distinct values.
+    Equal values are counted first.  Approximate quantiles cut each group into
+    buckets; sums by bucket tell in which one an element lies, and only that
+    bucket is ranked.  The result is exact, and no task ranks a whole group.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    known = rows.where(F.col(value).isNotNull())
+    counts = known.groupBy(group, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    steps = [i / buckets for i in range(1, buckets)]
+    cuts = known.groupBy(group).agg(F.percentile_approx(value, steps, 10 * buckets).alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    placed = counts.join(cuts, group).withColumn("_b", below).drop("_cuts")
+
     w = W.partitionBy(group)
-    end = F.sum("_n").over(w.orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
-    ranked = counts.withColumns({"_end": end, "_total": F.sum("_n").over(w)})
-    place = lambda p: F.least(F.floor(F.lit(p) * F.col("_total") / 100).cast("long"), F.col("_total") - 1)
-    at = lambda p: F.when((place(p) < F.col("_end")) & (place(p) >= F.col("_end") - F.col("_n")), F.col("_v"))
-    known = ranked.groupBy(group).agg(*[F.max(at(p)).alias(f"p{p}") for p in percents])
-    groups = rows.select(group).distinct().join(known, group, "left")
-    return groups.na.fill(0.0, [f"p{p}" for p in percents])
+    # at most one row a bucket and group
+    sums = placed.groupBy(group, "_b").agg(F.sum("_n").alias("_sum"))
+    sums = sums.withColumns(
+        {
+            "_end": F.sum("_sum").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)),
+            "_total": F.sum("_sum").over(w),
+        }
+    )
+    place = F.least(F.floor(F.col("_p") * F.col("_total") / 100).cast("long"), F.col("_total") - 1)
+    wanted = (
+        sums.withColumn("_p", F.explode(F.array(*map(F.lit, percents))))
+        .withColumn("_at", place - (F.col("_end") - F.col("_sum")))
+        .where("_at >= 0 and _at < _sum")
+        .select(group, "_b", "_p", "_at")
+    )
+    end = F.sum("_n").over(W.partitionBy(group, "_b", "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    found = placed.join(wanted, [group, "_b"]).withColumn("_upto", end).where("_at < _upto and _at >= _upto - _n")
+    of = lambda p: F.max(F.when(F.col("_p") == p, F.col("_v")))
+    values = found.groupBy(group).agg(*[of(p).alias(f"p{p}") for p in percents])
+    return rows.select(group).distinct().join(values, group, "left").na.fill(0.0, [f"p{p}" for p in percents])
 
 
 def ema(rows: DataFrame, group: str, order: str, value: str, alpha: float = ALPHA) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.sources.log import POINTER_BYTES, RECORD_HEADER
 
+# Fixed values of the table format: a block's bytes and entries, and a chunk's bytes.
 BLOCK_BYTES, BLOCK_ENTRIES = 64 << 10, 1000
 CHUNK_BYTES = 512 << 20
 #: Bytes of an entry in a block beside key (with its 9-byte version) and value.

@@ -11,6 +11,8 @@ from strandline.operators.latest import in_range, newest, visible
 from strandline.sources.log import NOW
 
 MIB = 1 << 20
+# Fixed values of the table choice: tables at most, full size of a table, the share of
+# it under which a table is small, the head share, and the limit for a pair, in MiB.
 MOST_TABLES, TABLE_MIB, RATIO, HEAD_SHARE, PAIR_MIB = 5, 256, 0.5, 0.3, 512
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Bytes of a chunk, and the root's inode number.
 CHUNK = 256 << 10
 ROOT = 1
 
@@ -150,3 +151,15 @@ def pending_videos(keys: DataFrame, extensions: tuple[str, ...] = ("mp4", "mov",
     done = keys.select(F.regexp_extract("k", r"^[.]hls/(.*)/index[.]m3u8$", 1).alias("k")).where("k <> ''")
     own = keys.where(~F.col("k").startswith(".hls/") & ~F.col("k").startswith(".thumb/"))
     return own.where(F.lower(F.substring_index("k", ".", -1)).isin(*extensions)).join(done, "k", "left_anti")
+
+
+def derived(keys: DataFrame, names: DataFrame) -> DataFrame:
+    """The keys (k) that go when the logical ``names`` (name) are deleted: each
+    itself, its thumbnails of all sizes, and its playlist and segments."""
+    k = F.col("k")
+    base = (
+        F.when(k.startswith(".thumb/"), F.regexp_extract(k, "^[.]thumb/[^/]*/(.*)$", 1))
+        .when(k.startswith(".hls/"), F.regexp_extract(k, "^[.]hls/(.*)/[^/]*$", 1))
+        .otherwise(k)
+    )
+    return keys.withColumn("name", base).join(names.select("name").distinct(), "name", "left_semi").select("k")

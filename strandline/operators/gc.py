@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.operators.latest import current
 from strandline.sources.log import NOW, PUT
 
+# Extents a run looks at, and the garbage share that is worth it.
 MOST_EXTENTS, LEAST_RATIO = 3, 0.4
 
 

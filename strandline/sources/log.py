@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Operation codes.
 PUT, DELETE = 1, 2
 #: Just after the last event of the standard tables; never the wall clock.
 NOW = 1706659200
 EVENT_TTL = 21600
+# Fixed values of the record format.
 #: A longer value is kept apart, and its record holds a pointer.
 POINTER_BYTES = 4096
 LOG_COLUMNS = ("k", "seq", "op", "v", "exp")

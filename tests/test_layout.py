@@ -131,6 +131,23 @@ def test_scalars(spark):
     assert x(aggregates.average_ms(F.lit(3_000_000), F.lit(2))) == 1.5 and x(aggregates.average_ms(F.lit(0), F.lit(0))) == 0
 
 
+def test_percentiles_of_many_values(spark):
+    rng = random.Random(8)
+    rows = [(g, rng.choice([rng.random(), round(rng.random(), 1)])) for g in "ab" for _ in range(4000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.p0, r.p37, r.p99, r.p100) for r in aggregates.nearest_ranks(df, "g", "v", [0, 37, 99, 100], 16).collect()}
+    for g in "ab":
+        s = sorted(v for h, v in rows if h == g)
+        assert got[g] == (s[0], s[37 * 40], s[99 * 40], s[-1])
+
+
+def test_derived_keys(spark):
+    keys = ["v.mp4", ".hls/v.mp4/index.m3u8", ".hls/v.mp4/0.ts", ".thumb/320/v.mp4", "w.mp4", ".thumb/64/w.mp4"]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    names = spark.createDataFrame([("v.mp4",), ("v.mp4",), ("x",)], "name string")
+    assert sorted(r.k for r in files.derived(df, names).collect()) == sorted(keys[:4])
+
+
 def test_texts(spark):
     assert one(spark, scalar.json_text(F.lit('a"b\\c\nd\x01é'))) == '"a\\"b\\\\c\\nd\\u0001é"'
     assert one(spark, scalar.load_key(F.lit("3fffffff"), "w", F.lit(2), F.lit(9))) == "3fffffff!w_2_9"
