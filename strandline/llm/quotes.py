@@ -4,9 +4,9 @@ Lines that begin with quote marks form passages, one for each run of a level.
 A passage is normalised (marks off, lower case, white space as one blank) and
 hashed, whole and by line.  Messages hash their own words the same way: whole,
 by paragraph and by line.  Equal hashes link a passage to the first message
-that said it: in the same conversation before the reply, else in any.  A
-message's parent is what its outermost linked passage quotes; following parents
-gives the thread, and the order in which every reply stands after its original.
+that said it: in the same conversation before the reply, else in an earlier one
+(conversations order by id, so replies form no rings).  A message's parent is
+what its outermost linked passage quotes; following parents gives the thread, and the order in which every reply stands after its original.
 
 A hash keeps only its first message before any join, so no phrase that many
 messages share multiplies rows.
@@ -129,7 +129,7 @@ def linked_messages(
     within = asked.join(here, (F.col("c") == F.col("h_c")) & (F.col("h") == F.col("h_h")), "left")
     both = within.join(anywhere, F.col("h") == F.col("a_h"), "left")
     inside = F.when(F.col("h_t") < F.col("t"), _at(F.col("c"), F.col("h_t")))
-    outside = F.when(F.col("a.c") != F.col("c"), F.col("a"))
+    outside = F.when(F.col("a.c") < F.col("c"), F.col("a"))
     linked = both.withColumn("to", F.coalesce(inside, outside)).where("to is not null")
     best = F.struct("level", (F.col("to.c") != F.col("c")).alias("far"), "place", "passage", "to")
     parents = linked.groupBy("c", "t").agg(F.min(best).alias("best"), F.countDistinct("passage").alias("n_linked"))
@@ -156,17 +156,14 @@ def linked_messages(
 
 
 def _roots(parents: DataFrame, scratch: Scratch) -> DataFrame:
-    """Each reply's root and depth, by jumping from parent to parent's parent.
-
-    Parents may stand in a ring only across conversations; after 40 doublings
-    whoever has no root yet counts as a root's direct reply."""
+    """Each reply's root and depth, by jumping from parent to parent's parent;
+    the longest chain halves with each jump."""
     at = parents.select("c", "t", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth"))
-    for _ in range(40):
+    while True:
         up = at.select(F.col("c").alias("u_c"), F.col("t").alias("u_t"), F.col("root").alias("up"), F.col("depth").alias("more"))
         next_ = at.join(up, (F.col("root.c") == F.col("u_c")) & (F.col("root.t") == F.col("u_t")), "left")
         if not next_.where("up is not null").limit(1).count():
             return at
         at = scratch.keep(
-            next_.select("c", "t", F.coalesce("up", "root").alias("root"), F.least(F.col("depth") + F.coalesce("more", F.lit(0)), F.lit(1 << 40)).alias("depth"))
+            next_.select("c", "t", F.coalesce("up", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
         )
-    return at

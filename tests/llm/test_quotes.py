@@ -42,3 +42,11 @@ def test_a_phrase_that_all_say(spark):
 def test_levels():
     assert list(Q.levels("a\n> b\n> > c\n>>d\n e")) == [(0, "a"), (1, "b"), (2, "c"), (2, "d"), (0, " e")]
     assert Q.parsed("x " * 50000)[1] == []
+
+
+def test_no_rings_across_conversations(spark):
+    rows = [(1, 0, "u", "> the second said it first\nthe first said it first"), (2, 0, "u", "> the first said it first\nthe second said it first")]
+    rows += [(3, i, "u", f"> sentence number {i - 1}\nsentence number {i}") for i in range(20)]
+    got = {(r.conv_id, r.turn): r for r in Q.linked_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1, 0].reply_conv, got[2, 0].reply_conv) == (None, 1)
+    assert [got[3, i].depth for i in range(20)] == list(range(20)) and got[3, 19].root_turn == 0
