@@ -163,3 +163,20 @@ def derived(keys: DataFrame, names: DataFrame) -> DataFrame:
         .otherwise(k)
     )
     return keys.withColumn("name", base).join(names.select("name").distinct(), "name", "left_semi").select("k")
+
+
+def with_subdirectories(inodes: DataFrame, made: DataFrame) -> DataFrame:
+    """``inodes`` (ino, nlink, ...) after directories (parent, name, ino) were
+    made: each adds a link to its parent."""
+    more = made.groupBy(F.col("parent").alias("_parent")).agg(F.count("*").alias("_more"))
+    links = F.col("nlink") + F.coalesce("_more", F.lit(0))
+    return inodes.join(more, F.col("ino") == F.col("_parent"), "left").withColumn("nlink", links).drop("_parent", "_more")
+
+
+def with_attributes(inodes: DataFrame, changes: DataFrame) -> DataFrame:
+    """``inodes`` with the attributes that ``changes`` (ino, and any of their
+    columns) give; null leaves an attribute as it is."""
+    own = [c for c in changes.columns if c != "ino"]
+    c = changes.select(F.col("ino").alias("_ino"), *(F.col(x).alias("_" + x) for x in own))
+    joined = inodes.join(c, F.col("ino") == F.col("_ino"), "left")
+    return joined.select(*(F.coalesce("_" + x, x).alias(x) if x in own else F.col(x) for x in inodes.columns))

@@ -148,6 +148,14 @@ def test_derived_keys(spark):
     assert sorted(r.k for r in files.derived(df, names).collect()) == sorted(keys[:4])
 
 
+def test_attributes(spark):
+    i = spark.createDataFrame([(1, 2, 0o755), (2, 2, 0o700)], "ino long, nlink long, mode int")
+    made = spark.createDataFrame([(1, "a", 3), (1, "b", 4)], "parent long, name string, ino long")
+    assert sorted(map(tuple, files.with_subdirectories(i, made).collect())) == [(1, 4, 0o755), (2, 2, 0o700)]
+    c = spark.createDataFrame([(2, 0o644, None)], "ino long, mode int, nlink long")
+    assert sorted(map(tuple, files.with_attributes(i, c).collect())) == [(1, 2, 0o755), (2, 2, 0o644)]
+
+
 def test_texts(spark):
     assert one(spark, scalar.json_text(F.lit('a"b\\c\nd\x01é'))) == '"a\\"b\\\\c\\nd\\u0001é"'
     assert one(spark, scalar.load_key(F.lit("3fffffff"), "w", F.lit(2), F.lit(9))) == "3fffffff!w_2_9"
