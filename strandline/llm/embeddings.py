@@ -30,7 +30,7 @@ from strandline.llm.graph import components, local_roots
 
 COSINE = 0.93
 FIT_ROWS, DIMENSIONS = 4096, 8
-BLOCK, LEAF = 256, 64
+BLOCK, LEAF = 512, 64
 #: Rounding of projections and boxes stays far below this.
 SLACK = 1e-6
 
@@ -67,8 +67,9 @@ def _fixed(basis: np.ndarray | None, dim: int, most: int) -> np.ndarray:
     return basis if basis is not None else np.eye(dim)[:, : min(most, dim)]
 
 
-def _sorted_blocks(nodes: DataFrame, eps: float, bases: dict, dims: int, block: int) -> DataFrame:
-    """Blocks of up to ``block`` nodes of one label and length, in grid order."""
+def _sorted_blocks(nodes: DataFrame, eps: float, bases: dict, dims: int, block: int, number: str) -> DataFrame:
+    """Blocks of up to ``block`` nodes of one label and length, in grid order;
+    ``number`` is the numpy type in which vectors are packed."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +103,7 @@ def _sorted_blocks(nodes: DataFrame, eps: float, bases: dict, dims: int, block:
                 p.max(axis=0).tolist(),
                 np.array([h[0] for h in held], "<i8").tobytes(),
                 np.array([h[1] for h in held], "<i8").tobytes(),
-                x.astype("<f8").tobytes(),
+                x.astype(number).tobytes(),
             )
             made += 1
             held.clear()
@@ -190,7 +191,7 @@ def _joined(xa: np.ndarray, pa_: np.ndarray, xb: np.ndarray, pb: np.ndarray, cos
             todo += [(a0, a1, b0, m), (a0, a1, m, b1)]
 
 
-def block_links(a: dict, b: dict, basis: np.ndarray, cosine: float, eps: float):
+def block_links(a: dict, b: dict, basis: np.ndarray, cosine: float, eps: float, number: str = "<f8"):
     """(nodes, links of each to others' rows, u, v): the links within the pair
     of blocks, counted by rows of the table, and links u > v that keep its
     components."""
@@ -199,7 +200,8 @@ def block_links(a: dict, b: dict, basis: np.ndarray, cosine: float, eps: float):
     for side in (a,) if same else (a, b):
         nodes.append(np.frombuffer(side["nodes"], "<i8"))
         copies.append(np.frombuffer(side["copies"], "<i8"))
-        x.append(_unit(np.frombuffer(side["vectors"], "<f8").reshape(len(nodes[-1]), -1)))
+        packed = np.frombuffer(side["vectors"], number).astype(np.float64)
+        x.append(_unit(packed.reshape(len(nodes[-1]), -1)))
     x = x * 2 if same else x
     p = [y @ basis for y in x]
     off = 0 if same else len(nodes[0])
@@ -218,7 +220,7 @@ def block_links(a: dict, b: dict, basis: np.ndarray, cosine: float, eps: float):
     return node[linked], count[linked], np.maximum(u, v), np.minimum(u, v)
 
 
-def _pair_results(blocks: DataFrame, cosine: float, eps: float, bases: dict, dims: int) -> DataFrame:
+def _pair_results(blocks: DataFrame, cosine: float, eps: float, bases: dict, dims: int, number: str) -> DataFrame:
     """Rows (u, v, n): links (u, v), and counts n of links of node u."""
     near = _near_blocks(blocks, eps)
     side = lambda s: blocks.select(*(F.col(c).alias(f"{s}_{c}") for c in ("block", "dim", "nodes", "copies", "vectors")))
@@ -229,7 +231,7 @@ def _pair_results(blocks: DataFrame, cosine: float, eps: float, bases: dict, dim
             for i in range(batch.num_rows):
                 r = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns)}
                 a, b = ({k[2:]: v for k, v in r.items() if k.startswith(s)} for s in ("a_", "b_"))
-                node, n, u, v = block_links(a, b, _fixed(bases.get(a["dim"]), a["dim"], dims), cosine, eps)
+                node, n, u, v = block_links(a, b, _fixed(bases.get(a["dim"]), a["dim"], dims), cosine, eps, number)
                 none = np.full(len(u), -1)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -266,6 +268,8 @@ def linked_vectors(
     if not 0 < cosine <= 1:
         raise ValueError("the cosine must be over 0 and at most 1")
     scratch = Scratch(df.sparkSession)
+    # single precision is packed as it is, and multiplied in double precision
+    number = "<f4" if df.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
     eps = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(label).cast("long").alias("label"), x.alias("vector"))
@@ -278,8 +282,8 @@ def linked_vectors(
     )
     nodes = scratch.keep(nodes)  # the numbers hold from here on
     bases = _directions(nodes, fit_rows, dims)
-    blocks = scratch.keep(_sorted_blocks(nodes.select("node", "label", "copies", "vector"), eps, bases, dims, block))
-    found = scratch.keep(_pair_results(blocks, cosine, eps, bases, dims))
+    blocks = scratch.keep(_sorted_blocks(nodes.select("node", "label", "copies", "vector"), eps, bases, dims, block, number))
+    found = scratch.keep(_pair_results(blocks, cosine, eps, bases, dims, number))
     roots = components(found.where("n < 0").select("u", "v"), scratch)
     counts = found.where("n >= 0").groupBy(F.col("u").alias("c_node")).agg(F.sum("n").alias("others"))
     known = nodes.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").join(
