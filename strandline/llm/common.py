@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -21,44 +23,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_root() -> str:
+    return tempfile.mkdtemp(prefix="strandline-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the shared folder of the cluster.
 
     ``spark.checkpoint.dir`` names that folder.  Only where it is unset, as in
-    tests on one machine, a temporary folder takes its place and is set.
+    tests on one machine, does a temporary folder take its place.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_root()
     return f"{root.rstrip('/')}/strandline-{uuid.uuid4().hex}"
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _delete_written() -> None:
+    """Takes away this process's tables as it ends, while its session lives."""
+    for spark, path in _written:
+        if spark.sparkContext._jsc is None:
+            return
+        _delete(spark, path)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
     A written table survives the loss of any executor.  ``drop`` removes the
-    files of tables that no later step reads.
+    files of tables that no later step reads; the others go as the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[int, str] = {}
+        self.kept: dict[int, tuple[DataFrame, str]] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = shared_dir(self.spark)
         df.write.parquet(path)
+        _written.append((self.spark, path))
         kept = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(kept)] = path
+        self.kept[id(kept)] = kept, path
         return kept
 
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
-            path = self.paths.pop(id(df), None)
+            _, path = self.kept.pop(id(df), (None, None))
             if path:
-                jvm = self.spark._jvm
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+                _delete(self.spark, path)
 
 
 def per_text(
