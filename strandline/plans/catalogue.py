@@ -638,7 +638,7 @@ RANGE_HEADERS = [
 
 @query(
     "byte_range_parse",
-    """SELECT * FROM (VALUES ('bytes=0-', 100, 0, 99), ('bytes=10-19', 100, 10, 19), ('bytes=-5', 100, 95, 99),
+    """SELECT header, CAST(total AS BIGINT) AS total, CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last FROM (VALUES ('bytes=0-', 100, 0, 99), ('bytes=10-19', 100, 10, 19), ('bytes=-5', 100, 95, 99),
   ('bytes=90-200', 100, 90, 99), ('bytes=100-', 100, NULL, NULL), ('bytes=5-2', 100, NULL, NULL),
   ('bytes=-0', 100, NULL, NULL), ('bytes=x-1', 100, NULL, NULL), ('items=0-1', 100, NULL, NULL),
   ('bytes=0-', 0, NULL, NULL), ('bytes=-500', 100, 0, 99)) t(header, total, first, last)""",
@@ -674,7 +674,7 @@ def long_keys(spark, d):
     return c.select("conv_id", "turn", F.lower(F.hex(key)).alias("key"), scalar.long_from_key(key, 1).alias("back"))
 
 
-@query("bloom_no_false_negatives", f"WITH {LOG} SELECT count(DISTINCT k) AS keys, 0 AS missed FROM log")
+@query("bloom_no_false_negatives", f"WITH {LOG} SELECT count(DISTINCT k) AS keys, CAST(0 AS BIGINT) AS missed FROM log")
 def bloom_no_false_negatives(spark, d):
     keys = events_log(spark, d).select("k").distinct()
     bits, hashes = scalar.bloom_shape(512, 0.01)
