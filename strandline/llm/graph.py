@@ -63,17 +63,18 @@ def contracted(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
     return edges.mapInArrow(run, _EDGE)
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, contract: bool = True) -> DataFrame:
     """Columns node and root: each node of ``edges`` (u, v long) that is not the
     least of its component, and that least node.
 
-    Links are first contracted within partitions; then large-star and
-    small-star steps alternate (Kiveris and others, "Connected Components in
+    Links are first contracted within partitions, unless ``contract`` is False
+    because they come so, with u > v; then large-star and small-star steps alternate (Kiveris and others, "Connected Components in
     MapReduce and Beyond") until all links are stars about least nodes.  All
     links stay in tables; each step is written to the shared folder, and no
     step gathers a node's neighbours.  No links give no rows.
     """
-    stars = scratch.keep(contracted(edges.where("u <> v")).distinct())
+    edges = edges.where("u <> v")
+    stars = scratch.keep((contracted(edges) if contract else edges).distinct())
     while not _done(stars):
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_least(both, both.where("v > u")).distinct()

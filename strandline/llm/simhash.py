@@ -195,7 +195,8 @@ def cell_links(signed: np.ndarray, cell: int, prefix: int, half: int, bits: int,
 def _classes(found: DataFrame, scratch: Scratch, key: str, radius: int) -> DataFrame:
     """fp, and the root fingerprint of its component, for each distinct one."""
     distinct = scratch.keep(found.select("fp").distinct())
-    roots = components(links(distinct, radius), scratch)
+    # a cell's links are stars; a second function in one task would need a second Python worker
+    roots = components(links(distinct, radius), scratch, contract=False)
     return distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
         F.col("fp").alias("fp_"), F.coalesce("root", "fp").alias("root")
     )
