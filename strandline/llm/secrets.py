@@ -5,7 +5,9 @@ to a credential name, an access key, a long hexadecimal run.  Values that
 follow a credential word but that no pattern caught are judged by what it would
 cost to guess them: a dynamic programme finds the cheapest way to cut the value
 into known words, dates, repeats, keyboard walks and brute-force characters
-(after Wheeler, "zxcvbn: Low-Budget Password Strength Estimation").  A value
+(after Wheeler, "zxcvbn: Low-Budget Password Strength Estimation").  A quoted
+value ends at its closing quote; Bearer, Basic or Token before it is not part
+of it.  A value
 that costs at least 2**MIN_BITS guesses is a secret; a placeholder or an
 everyday word is not.
 
@@ -39,9 +41,20 @@ HEX = r"[0-9a-f]+"
 ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
 
 #: Words before a value that the guess cost judges.
-CONTEXT = (
+WORD = (
     r"""(?ai:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|"""
-    r"""api[_\-]?key|access[_\-]?key|private[_\-]?key|client[_\-]?secret))["']?\x20*[:=]\x20*["']?([^\s"'<>,;]{6,})"""
+    r"""api[_\-]?key|access[_\-]?key|private[_\-]?key|client[_\-]?secret))["']?\x20*[:=]\x20*"""
+)
+#: A word that names how a value is used, not part of it.
+SCHEME = r"(?:(?ai:bearer|basic|token)[\x20\t]+)?"
+#: A line break inside quotes; a quote that its paragraph leaves open is none.
+BREAK = r"\\?\n(?![\x20\t]*\n)"
+#: The value is one group of three: to the closing double or single quote
+#: (an apostrophe within a word closes nothing), or what stands without quotes.
+CONTEXT = (
+    rf"""{WORD}{SCHEME}(?:"{SCHEME}((?:[^"\\\n]|\\[^\n]|{BREAK}){{6,}}+)\""""
+    rf"""|'{SCHEME}((?:[^'\\\n]|(?<=\w)'(?=\w)|\\[^\n]|{BREAK}){{6,}}+)'"""
+    rf"""|["']?{SCHEME}([^\s"'<>,;]{{6,}}))"""
 )
 MIN_BITS = 38.0
 
@@ -169,8 +182,8 @@ def spans_of(text: str | None) -> list[tuple[int, int, str]]:
     found += [(m.start(), m.end(), 2) for m in _HEX.finditer(text) if m.end() - m.start() >= HEX_LENGTH]
     base = sorted(found)
     for m in _CONTEXT.finditer(text):
-        a, b = m.span(1)
-        if not any(s < b and a < e for s, e, _ in base) and guess_bits(m[1], MIN_BITS) >= MIN_BITS:
+        a, b = m.span(m.lastindex)
+        if not any(s < b and a < e for s, e, _ in base) and guess_bits(m[m.lastindex], MIN_BITS) >= MIN_BITS:
             found.append((a, b, 3))
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
