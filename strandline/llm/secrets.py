@@ -2,7 +2,7 @@
 
 Three patterns find spans that look like secrets by form alone: an assignment
 to a credential name, an access key, a long hexadecimal run.  Values that
-follow a credential word but that no pattern caught are judged by what it would
+follow a credential word but that no pattern caught whole are judged by what it would
 cost to guess them: a dynamic programme finds the cheapest way to cut the value
 into known words, dates, repeats, keyboard walks and brute-force characters
 (after Wheeler, "zxcvbn: Low-Budget Password Strength Estimation").  A quoted
@@ -183,7 +183,7 @@ def spans_of(text: str | None) -> list[tuple[int, int, str]]:
     base = sorted(found)
     for m in _CONTEXT.finditer(text):
         a, b = m.span(m.lastindex)
-        if not any(s < b and a < e for s, e, _ in base) and guess_bits(m[m.lastindex], MIN_BITS) >= MIN_BITS:
+        if not any(s <= a and b <= e for s, e, _ in base) and guess_bits(m[m.lastindex], MIN_BITS) >= MIN_BITS:
             found.append((a, b, 3))
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2]))]
 

@@ -118,3 +118,21 @@ def test_whole_values_are_judged(text, value):
 
 def test_open_quotes_take_linear_time():
     assert S.spans_of("token='a pwd=\"b " * 50000) is not None
+
+
+@pytest.mark.parametrize(
+    "text, value, redacted",
+    [
+        ("password=abcdefgh1234#$Kq9!zT7%pL z", "abcdefgh1234#$Kq9!zT7%pL", "[SECRET] z"),
+        ("pwd: x!0123456789abcdef#Kq9 z", "x!0123456789abcdef#Kq9", "pwd: [SECRET] z"),
+    ],
+)
+def test_a_base_span_hides_no_longer_value(text, value, redacted):
+    spans = S.spans_of(text)
+    assert [x for x in spans if x[2] != "guess"] == base_spans(text) != []
+    assert [text[s:e] for s, e, k in spans if k == "guess"] == [value]
+    assert S.redacted(text, spans) == redacted
+
+
+def test_a_value_inside_a_base_span_adds_none():
+    assert [k for *_, k in S.spans_of("password=b7db7aa4a5fcc78305zQ end")] == ["assign", "hex"]
