@@ -4,12 +4,14 @@ Lines that begin with quote marks form passages, one for each run of a level.
 A passage is normalised (marks off, lower case, white space as one blank) and
 hashed, whole and by line.  Messages hash their own words the same way: whole,
 by paragraph and by line.  Equal hashes link a passage to the first message
-that said it: in the same conversation before the reply, else in an earlier one
-(conversations order by id, so replies form no rings).  A message's parent is
-what its outermost linked passage quotes; following parents gives the thread, and the order in which every reply stands after its original.
-
-A hash keeps only its first message before any join, so no phrase that many
-messages share multiplies rows.
+that said it: in the same conversation before the reply, else in any other one.
+A message's parent is what its outermost linked passage quotes; where parents
+form a ring, which takes two conversations, its first message by conversation
+and turn has none.  Following parents gives the thread, and the order in which
+every reply stands after its original.
+
+A hash keeps only its first message, and the first of another conversation,
+before any join, so no phrase that many messages share multiplies rows.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm.common import Scratch, per_text, present
 
-#: Lines and paragraphs of fewer letters or digits link nothing on their own.
+#: Lines and paragraphs of fewer letters or digits link nothing on their own;
+#: whole passages and messages do within their conversation.
 LEAST = 12
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _SAID = re.compile(
@@ -49,12 +53,17 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def digest(text: str) -> int | None:
-    """A 64-bit hash of a normal text; null if it says too little to link."""
+def digest(text: str, whole: bool = False) -> int | None:
+    """A 64-bit hash of a normal text; null if it says too little to link.
+
+    The hash is odd if the text links within its conversation only: a whole one
+    that says little.  No other hash is odd."""
     text = normal(text)
-    if sum(map(str.isalnum, text)) < LEAST:
+    short = sum(map(str.isalnum, text)) < LEAST
+    if not text or short and not whole:
         return None
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    hashed = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return hashed | 1 if short else hashed & ~1
 
 
 def parsed(text: str | None) -> tuple[str | None, list[tuple[int, list[int]]], list[int]]:
@@ -71,10 +80,10 @@ def parsed(text: str | None) -> tuple[str | None, list[tuple[int, list[int]]], l
         else:
             passages.append((level, [line]))
         last = level
-    kept = lambda parts: list(dict.fromkeys(h for h in map(digest, parts) if h is not None))
+    kept = lambda all_, *parts: list(dict.fromkeys(h for h in (digest(all_, True), *map(digest, parts)) if h is not None))
     said = "\n".join(own).strip("\n") if passages else text
-    quoted = [(level, kept(["\n".join(lines), *sorted(lines, key=len, reverse=True)])) for level, lines in passages]
-    units = kept([said or "", *re.split(r"\n[ \t]*\n", said or ""), *own])
+    quoted = [(level, kept("\n".join(lines), *sorted(lines, key=len, reverse=True))) for level, lines in passages]
+    units = kept(said or "", *re.split(r"\n[ \t]*\n", said or ""), *own)
     return said, quoted, units
 
 
@@ -112,14 +121,19 @@ def linked_messages(
     Sorted by thread_conv, root_turn, depth, conv, turn, every reply stands
     after its parent.  Null texts stay null and quote nothing.  Messages with a
     null conv or turn are neither parents nor replies.  Repeated rows share
-    their links; an empty table gives no rows.
+    their links; an empty table gives no rows.  The first message of a ring has
+    no parent, though its passages count as linked.
     """
     scratch = Scratch(messages.sparkSession)
     all_ = scratch.keep(_parse(messages, conv, turn, role, text))
     placed = all_.where(F.col(conv).isNotNull() & F.col(turn).isNotNull())
     said = placed.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.explode("units").alias("h"))
     here = said.groupBy(F.col("c").alias("h_c"), F.col("h").alias("h_h")).agg(F.min("t").alias("h_t"))
-    anywhere = said.groupBy(F.col("h").alias("a_h")).agg(F.min(_at(F.col("c"), F.col("t"))).alias("a"))
+    # a hash's first message, and its first in another conversation
+    order = W.partitionBy("h_h").orderBy("h_c")
+    first = here.where(F.col("h_h").bitwiseAND(1) == 0).withColumn("rank", F.row_number().over(order)).where("rank <= 2")
+    at = _at(F.col("h_c"), F.col("h_t"))
+    anywhere = first.groupBy(F.col("h_h").alias("a_h")).agg(F.min(at).alias("a"), F.max(at).alias("b"))
 
     asked = (
         placed.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.posexplode("quoted").alias("passage", "q"))
@@ -129,15 +143,16 @@ def linked_messages(
     within = asked.join(here, (F.col("c") == F.col("h_c")) & (F.col("h") == F.col("h_h")), "left")
     both = within.join(anywhere, F.col("h") == F.col("a_h"), "left")
     inside = F.when(F.col("h_t") < F.col("t"), _at(F.col("c"), F.col("h_t")))
-    outside = F.when(F.col("a.c") < F.col("c"), F.col("a"))
+    outside = F.when(F.col("a.c") != F.col("c"), F.col("a")).when(F.col("b.c") != F.col("c"), F.col("b"))
     linked = both.withColumn("to", F.coalesce(inside, outside)).where("to is not null")
     best = F.struct("level", (F.col("to.c") != F.col("c")).alias("far"), "place", "passage", "to")
     parents = linked.groupBy("c", "t").agg(F.min(best).alias("best"), F.countDistinct("passage").alias("n_linked"))
     parents = scratch.keep(parents.select("c", "t", F.col("best.to").alias("parent"), "n_linked"))
+    parents = _without_rings(parents, scratch)
 
-    roots = scratch.keep(_roots(parents, scratch))
+    roots = scratch.keep(_roots(parents.where("parent is not null"), scratch))
     known = parents.join(roots.select(F.col("c").alias("r_c"), F.col("t").alias("r_t"), "root", "depth"),
-                         (F.col("c") == F.col("r_c")) & (F.col("t") == F.col("r_t")))
+                         (F.col("c") == F.col("r_c")) & (F.col("t") == F.col("r_t")), "left")
     out = all_.join(known, (F.col(conv) == F.col("c")) & (F.col(turn) == F.col("t")), "left")
     return out.select(
         conv,
@@ -155,6 +170,39 @@ def linked_messages(
     )
 
 
+def _without_rings(parents: DataFrame, scratch: Scratch) -> DataFrame:
+    """``parents`` with a null parent for the first message of each ring.
+
+    Jumping from parent to parent's parent, chains that end drop out; the
+    messages that jumps reach grow fewer until only rings are left.  On those,
+    jumps gather the first message."""
+    here = F.struct("c", "t")
+    ahead = parents.where(F.col("parent") > here)  # each ring has such a link
+    if not ahead.limit(1).count():
+        return parents
+    meet = (F.col("to.c") == F.col("u_c")) & (F.col("to.t") == F.col("u_t"))
+    at, reached = parents.select("c", "t", F.col("parent").alias("to")), -1
+    while True:
+        n = at.select("to").distinct().count()
+        if not n:
+            return parents
+        if n == reached:
+            break
+        up = at.select(F.col("c").alias("u_c"), F.col("t").alias("u_t"), F.col("to").alias("up"))
+        at, reached = scratch.keep(at.join(up, meet).select("c", "t", F.col("up").alias("to"))), n
+    rings = at.select("to.c", "to.t").distinct()
+    at = scratch.keep(parents.join(rings, ["c", "t"]).select("c", "t", F.col("parent").alias("to"), here.alias("low")))
+    while True:
+        up = at.select(F.col("c").alias("u_c"), F.col("t").alias("u_t"), F.col("to").alias("up"), F.col("low").alias("u_low"))
+        next_ = at.join(up, meet)
+        if not next_.where("u_low < low").limit(1).count():
+            break
+        at = scratch.keep(next_.select("c", "t", F.col("up").alias("to"), F.least("low", "u_low").alias("low")))
+    cut = at.where(F.col("low") == here).select(F.col("c").alias("u_c"), F.col("t").alias("u_t"))
+    joined = parents.join(cut, (F.col("c") == F.col("u_c")) & (F.col("t") == F.col("u_t")), "left")
+    return scratch.keep(joined.select("c", "t", F.when(F.col("u_c").isNull(), F.col("parent")).alias("parent"), "n_linked"))
+
+
 def _roots(parents: DataFrame, scratch: Scratch) -> DataFrame:
     """Each reply's root and depth, by jumping from parent to parent's parent;
     the longest chain halves with each jump."""

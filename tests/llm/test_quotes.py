@@ -50,3 +50,39 @@ def test_no_rings_across_conversations(spark):
     got = {(r.conv_id, r.turn): r for r in Q.linked_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert (got[1, 0].reply_conv, got[2, 0].reply_conv) == (None, 1)
     assert [got[3, i].depth for i in range(20)] == list(range(20)) and got[3, 19].root_turn == 0
+
+
+def rows_of(spark, rows):
+    return {(r.conv_id, r.turn): r for r in Q.linked_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+
+
+def test_an_original_in_a_later_conversation(spark):
+    said = "what was said at length"
+    # the first to say it in 4 is too late for (4, 0); 9 says it too
+    rows = [(1, 0, "u", f"> {said}\nI see."), (2, 3, "u", said), (4, 0, "u", "> another long sentence\nOh."), (4, 1, "u", "another long sentence"), (9, 0, "u", "another long sentence")]
+    got = rows_of(spark, rows)
+    parent = {k: (r.reply_conv, r.reply_turn) for k, r in got.items() if r.reply_conv is not None}
+    assert parent == {(1, 0): (2, 3), (4, 0): (9, 0)}
+    assert (got[1, 0].thread_conv, got[1, 0].root_turn, got[1, 0].depth, got[1, 0].n_linked) == (2, 3, 1, 1)
+
+
+def test_a_short_message_is_quoted_whole(spark):
+    rows = [(1, 0, "u", "Yes, I agree"), (1, 1, "u", "> Yes, I agree\nGood."), (1, 2, "u", "> good.\n> Yes, I agree\nBoth."), (2, 0, "u", "> Yes, I agree\nNot said here."), (2, 1, "u", ">\n\nhm"), (2, 2, "u", "> \nhm")]
+    got = rows_of(spark, rows)
+    assert {k: (r.reply_conv, r.reply_turn) for k, r in got.items() if r.n_linked} == {(1, 1): (1, 0)}
+
+
+def test_rings_of_any_length_lose_one_link(spark):
+    say = lambda i: f"sentence number {i} of the ring"
+    for n in (2, 3, 4, 7, 8):
+        order = [(i * 3) % n if n % 3 else i for i in range(n)]
+        rows = [(order[i], 0, "u", f"> {say(order[(i + 1) % n])}\n{say(order[i])}") for i in range(n)]
+        # a chain that leads into the ring, and one apart from it
+        rows += [(100 + i, 0, "u", f"> {say(100 + i - 1 if i else 0)}\n{say(100 + i)}") for i in range(5)]
+        rows += [(200 + i, 0, "u", f"> {say(200 + i + 1)}\n{say(200 + i)}") for i in range(6)]
+        got = rows_of(spark, rows)
+        assert [k for k, r in got.items() if r.reply_conv is None and k[0] < 200] == [(0, 0)]
+        assert got[0, 0].n_linked == 1 and got[0, 0].depth == 0 and got[0, 0].thread_conv == 0
+        assert [got[100 + i, 0].depth for i in range(5)] == [1, 2, 3, 4, 5] and got[104, 0].thread_conv == 0
+        assert [got[200 + i, 0].depth for i in range(6)] == [5, 4, 3, 2, 1, 0]
+        assert sorted(got[i, 0].depth for i in range(n)) == list(range(n))
