@@ -46,6 +46,13 @@ FORMS = {
     "card": (r"[0-9.+-]", r"[0-9](?:[ -]?[0-9]){12,18}", r"[0-9-]"),
 }
 KINDS = tuple(FORMS)
+# The groupings of cards, which may stand beside a short number.
+CARD = (
+    r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19})(?![0-9])"
+)
+#: A card beside a number is permuted until both together pass no test, so that
+#: the way back finds the same card; 0.1 to the power of this remain.
+WALK = 16
 PATTERN = "|".join(f"(?<!{a})(?:{v})" + (f"(?!{z})" if z else "") for a, v, z in FORMS.values())
 #: A text with a match has one of this.
 MAYBE = r"[0-9]{2}|@|[0-9]\.[0-9]"
@@ -128,6 +135,20 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda s, x: s + x)
 
 
+def _passes(digits: Column) -> Column:
+    return _luhn_sum(digits) % 10 == 0
+
+
+def _card_in(value: Column) -> list[Column]:
+    """What stands before a grouped card in a stretch of digits, the card, and
+    what stands after it; empty if there is none."""
+    return [F.regexp_extract(value, f"^(.*?)({CARD})(.*)$", i) for i in (1, 2, 3)]
+
+
+def _digits(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9]", "")
+
+
 def _mod97(text: Column) -> Column:
     """The rest modulo 97 of a text of digits and capitals (A is 10)."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
@@ -165,11 +186,11 @@ def _date_of(value: Column) -> Column:
 def kind_of(value: Column) -> Column:
     """The kind of a match if it is valid; else null.
 
-    Cards pass Luhn's test, IBANs have a rest of 1 modulo 97, dates exist,
+    Cards pass Luhn's test, alone or with a short number beside them, IBANs have a rest of 1 modulo 97, dates exist,
     octets are at most 255, social security numbers have no excluded group.
     """
     is_ = lambda k: value.rlike(f"^(?:{FORMS[k][1]})$")
-    digits = F.regexp_replace(value, "[^0-9]", "")
+    card = _card_in(value)[1]
     return (
         F.when(value.contains("@"), "email")
         .when(is_("iban"), F.when(_mod97(F.concat(F.substring(value, 5, 40), F.substring(value, 1, 4))) == 1, "iban"))
@@ -177,19 +198,41 @@ def kind_of(value: Column) -> Column:
         .when(is_("ip"), F.when(F.forall(F.split(value, r"\."), lambda o: o.cast("int") <= 255), "ip"))
         .when(is_("ssn"), F.when(value.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), "ssn"))
         .when(is_("phone"), "phone")
-        .when(is_("card"), F.when(_luhn_sum(digits) % 10 == 0, "card"))
+        .when(is_("card"), F.when(_passes(_digits(value)) | ((card != "") & _passes(_digits(card))), "card"))
     )
 
 
+def _card(value: Column, key: str, backwards: bool) -> Column:
+    """The pseudonym of a card, in any grouping."""
+    digits = _digits(value)
+    payload = permuted(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card", backwards)
+    check = F.pmod(F.lit(10) - F.pmod(_luhn_sum(F.concat(payload, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
+    return _refilled(value, F.concat(payload, check))
+
+
+def _card_beside(value: Column, key: str, backwards: bool) -> Column:
+    """A stretch of digits with the pseudonym of the grouped card in it."""
+    before, card, after = _card_in(value)
+
+    def step(state: Column, _: Column) -> Column:
+        tried = F.transform(
+            F.array(_card(state.v, key, backwards)),
+            lambda v: F.struct(v.alias("v"), (~_passes(_digits(F.concat(before, v, after)))).alias("done")),
+        )
+        return F.when(state.done, state).otherwise(F.get(tried, F.lit(0)))
+
+    start = F.struct(card.alias("v"), F.lit(False).alias("done"))
+    return F.concat(before, F.reduce(F.sequence(F.lit(1), F.lit(WALK)), start, step, lambda s: s.v), after)
+
+
 def pseudonym(value: Column, kind: Column, key: str, backwards: bool = False) -> Column:
     """The pseudonym by ``key`` of a match of this kind; of a null kind, the
     match itself."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
+    digits = _digits(value)
     n = F.length(digits)
 
-    payload = permuted(F.substring(digits, F.lit(1), n - 1), key, "card", backwards)
-    check = F.pmod(F.lit(10) - F.pmod(_luhn_sum(F.concat(payload, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
-    card = _refilled(value, F.concat(payload, check))
+    # the longest that passes is the card
+    card = F.when(_passes(digits), _card(value, key, backwards)).otherwise(_card_beside(value, key, backwards))
 
     body = permuted(F.substring(value, 5, 40), key, "iban", backwards)
     country = F.substring(value, 1, 2)

@@ -85,3 +85,24 @@ def test_rows(spark):
 def test_a_plan_without_python(spark):
     plan = P.pseudonym_rows(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "k")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_card_beside_a_short_number(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"{card} 123", f"{card} 12/27", f"{card}-123", f"123 {card}", "3782-822463-10005 1234 x", "4111111111111111 12/27", "30569309025904 12"]
+    texts += [f"{card} {i:03d}" for i in range(100)]
+    rows = {r.doc_id: r for r in P.pseudonym_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
+    keep = 0
+    for i, t in enumerate(texts):
+        assert rows[i].n_card == 1 and len(rows[i].text) == len(t) and card not in rows[i].text and "3782-822463-10005" not in rows[i].text
+        if i > 6 and not luhn(t.replace(" ", "")):
+            new = rows[i].text
+            assert new[19:] == t[19:] and luhn(new[:19].replace(" ", "")) and not luhn(new.replace(" ", ""))
+            keep += 1
+    assert keep == 90
+    assert rows[1].text.endswith("/27") and rows[5].text.endswith("/27")
+    back = P.pseudonymised(spark.createDataFrame(list(rows.values())), "key", backwards=True).collect()
+    assert {r.doc_id: r.text for r in back} == dict(enumerate(texts))
+    # a wrong check digit stays
+    bad = "4111 1111 1111 1112 123"
+    assert not luhn(bad.replace(" ", "")) and P.pseudonym_rows(spark.createDataFrame([(1, bad)], "doc_id long, text string"), "key").first().text == bad
