@@ -11,8 +11,8 @@ CHUNK = 256 << 10
 ROOT = 1
 
 
-def lookup(dirents: DataFrame, inodes: DataFrame, parent: int, name: str) -> DataFrame:
-    """The inode of a name in a directory."""
+def lookup(dirents: DataFrame, inodes: DataFrame, parent: int | None, name: Column | str) -> DataFrame:
+    """The inode of a name in a directory; none in a null one."""
     return dirents.where((F.col("parent") == parent) & (F.col("name") == name)).join(inodes, "ino")
 
 

@@ -585,10 +585,17 @@ def readdir(spark, d):
     """SELECT c.conv_id, c.turn, length(c.text) AS size FROM conversations c WHERE c.turn = 0 AND c.role = 'user'""",
 )
 def path_lookup(spark, d):
+    """Messages as files at /role/turn/conv_id; all of one directory.  Inode
+    numbers are hashes of paths."""
     c = table(spark, d, "conversations")
-    dirents = c.where("turn = 0 and role = 'user'").select("conv_id", "turn")
-    inodes = c.select("conv_id", "turn", F.length("text").cast("long").alias("size"))
-    return dirents.join(inodes, ["conv_id", "turn"])
+    role, turn, conv = (F.col(x).cast("string") for x in ("role", "turn", "conv_id"))
+    ino = lambda *path: F.xxhash64(F.concat_ws("/", *path))
+    entry = lambda parent, name, at: c.select(parent.alias("parent"), name.alias("name"), at.alias("ino"))
+    dirs = entry(F.lit(files.ROOT).cast("long"), role, ino(role)).union(entry(ino(role), turn, ino(role, turn))).distinct()
+    dirents = dirs.union(entry(ino(role, turn), conv, ino(role, turn, conv)))
+    inodes = c.select(ino(role, turn, conv).alias("ino"), "conv_id", "turn", F.length("text").cast("long").alias("size"))
+    at = files.resolve_path(dirents, "/user/0").first()
+    return files.lookup(dirents, inodes, at and at.ino, F.col("name")).select("conv_id", "turn", "size")
 
 
 MEDIA_KEYS = """m AS (

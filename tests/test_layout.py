@@ -109,6 +109,18 @@ def test_directories(spark):
     assert same.count() == 3 and gone.count() == 0
 
 
+def test_path_lookup_goes_through_the_operators(spark, monkeypatch):
+    from strandline.plans import catalogue
+
+    called = []
+    for name in ("lookup", "resolve_path"):
+        monkeypatch.setattr(files, name, lambda *a, f=getattr(files, name), n=name: called.append(n) or f(*a))
+    assert catalogue.queries()["path_lookup"](spark, "/root/testdata/sf0.001").count() > 0
+    assert sorted(called) == ["lookup", "resolve_path"]
+    monkeypatch.setattr(files, "resolve_path", lambda dirents, path: dirents.select("ino").limit(0))
+    assert catalogue.queries()["path_lookup"](spark, "/root/testdata/sf0.001").count() == 0
+
+
 def test_long_keys_order_as_numbers(spark):
     n = [0, 1, 255, 256, 2**40, 2**62]
     df = spark.createDataFrame([(x, y) for x in n for y in n], "a long, b long").withColumn("k", scalar.long_key(2, F.col("a"), F.col("b")))
