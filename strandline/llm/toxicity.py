@@ -30,8 +30,6 @@ BUCKETS = 1 << 20
 #: Features that enter the model at most, by how well they tell the classes apart.
 FEATURES = 8192
 L2, SWAP_PENALTY, STEPS = 1e-4, 10.0, 400
-#: Swapped sentences of a labelled text, and their features, used at most.
-SWAPS, SWAP_FEATURES = 8, 512
 #: Stretches of text whose features a task remembers at most.
 KNOWN_CHUNKS = 1 << 17
 PREFIXES = (4, 5, 6)
@@ -70,22 +68,18 @@ def features(text: str | None) -> set[int]:
     return found
 
 
-def counterfactuals(text: str | None, terms: Sequence[str] = IDENTITY_TERMS, most: int = SWAPS) -> Iterable[tuple[str, str]]:
-    """Lower-case sentences that hold identity terms, each with one in which
+def counterfactuals(text: str | None, terms: Sequence[str] = IDENTITY_TERMS) -> Iterable[tuple[str, str]]:
+    """All lower-case sentences that hold identity terms, each with one in which
     every term is swapped for the next of its line."""
     swap = {}
     for line in terms:
         words = line.split()
         for i, w in enumerate(words):
             swap.setdefault(w, words[(i + 1) % len(words)])
-    found = 0
     for m in _SENTENCE.finditer(text.lower() if text else ""):
         other = _TERM.sub(lambda w: swap.get(w[0], w[0]), m[0])
         if other != m[0]:
             yield m[0], other
-            found += 1
-            if found == most:
-                return
 
 
 class Rows:
@@ -240,7 +234,7 @@ def fit(
             pairs = []
             for a, b in counterfactuals(t):
                 fa, fb = features(a), features(b)
-                pairs += [sorted(fa - fb)[:SWAP_FEATURES], sorted(fb - fa)[:SWAP_FEATURES]]
+                pairs += [sorted(fa - fb), sorted(fb - fa)]
             return pairs
 
         return lambda cols: [cols[0], cols[2], [sorted(features(t)) for t in cols[1]], [swapped(t) for t in cols[1]]]

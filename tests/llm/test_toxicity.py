@@ -68,3 +68,21 @@ def test_one_class_or_none(spark):
         model = X.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
         assert {r.predicted for r in X.score_texts(docs, model).collect()} == {p}
     assert X.score_texts(docs.limit(0), model).count() == 0
+
+
+def test_all_swapped_sentences_and_their_features_are_used(spark, monkeypatch):
+    rows = corpus(40)
+    rows[0] = (0, "A man came. " * 20, rows[0][2])
+    rows[1] = (1, " ".join(f"man{i // 26}-{chr(97 + i % 26)} man-{i}x" for i in range(400)) + ".", rows[1][2])
+    kept = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert {0, 1} <= set(kept)
+    got = []
+    monkeypatch.setattr(X.ToxicityModel, "fit", classmethod(lambda cls, sets, y, share, swaps: got.extend(swaps) or cls({}, 0.0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    X.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    want = []
+    for i in kept:
+        for a, b in X.counterfactuals(rows[i][1]):
+            want.append((sorted(X.features(a) - X.features(b)), sorted(X.features(b) - X.features(a))))
+    assert [(a.tolist(), b.tolist()) for a, b in got] == want
+    assert len(list(X.counterfactuals(rows[0][1]))) == 20 and max(len(a) for a, _ in want) > 512
