@@ -84,6 +84,8 @@ def byte_letters() -> list[str]:
     prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     other = iter(range(256, 512))
     return [chr(b) if b in prints else chr(next(other)) for b in range(256)]
+
+
 _OWN_MARKS = regex.compile(f"([{_set_of(NO_MARKS)}])")
 #: Python splits at these; they are no white space to the tokenizers library.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
@@ -282,7 +284,7 @@ class WordBpe:
     def _chunks(self, text: str) -> list[str]:
         """Stretches of a normal text between white space; no word has any."""
         if any(c in text for c in _NO_SPACE):
-            return _SPACES.split(text)
+            return [chunk for chunk in _SPACES.split(text) if chunk]  # white space at an end leaves an empty one
         return text.split()
 
     def _ids_of(self, text: str) -> bytes:
@@ -346,7 +348,8 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     """One row per row of ``docs``: ``key`` and ids (binary, little-endian
     unsigned 32-bit integers) of the whole text.
 
-    A null text counts as empty and has no ids.  Other columns are not read.
+    A null text counts as empty and has no ids.  Other columns are not read;
+    repeated rows are encoded each; an empty table gives no rows.
     """
     spec = _shipped(docs, path)
     schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -360,7 +363,8 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
 def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """One row per row of ``encoded``: ``key`` and the text of its ids; null
-    ids give an empty text."""
+    ids give an empty text.  Other columns are not read; an empty table gives
+    no rows."""
     spec = _shipped(encoded, path)
     schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("text", T.StringType())])
 

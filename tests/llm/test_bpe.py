@@ -34,6 +34,7 @@ def same(ours, theirs, text):
 @pytest.mark.parametrize(
     "text",
     ["", " ", "Hello WORLD it's 123 foo!!  <|endoftext|>bar ÉCOLE", "İΣΑΣ ŒUVRE's", "a\u0085b\u001cc d", "<|startoftext|><|endoftext",
+     "page one\x1f page two\n", "\x1c", "\x1f \x1e", " \x1d\u2028",
      "a" * 500, "!?" * 300, "é́ 힣 각", "'S 'LL I'VE 'd'd''s", "abܱ᫆cd \U00011935\U00011930 \U0001b125", "Ᲊ ꟋꟌ"],
 )
 def test_the_library_agrees(ours, theirs, text):
@@ -48,6 +49,20 @@ def test_the_library_agrees_on_any_text(ours, theirs, text):
     same(ours, theirs, text)
 
 
+#: White space and separators of every kind, as the one library or the other sees them.
+ODD_SPACES = "\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000\u200b \t\n\r\x0b\x0c"
+
+
+@settings(max_examples=400, deadline=None)
+@given(
+    st.text(alphabet=ODD_SPACES, max_size=4),
+    st.text(alphabet="ab.é1'" + ODD_SPACES, max_size=30),
+    st.text(alphabet=ODD_SPACES, max_size=4),
+)
+def test_the_library_agrees_on_any_white_space(ours, theirs, before, text, after):
+    same(ours, theirs, before + text + after)
+
+
 def test_pairs_are_compatible_if_merging_leaves_them(ours):
     """Against merging the joint symbols, lowest rank first."""
     rng = random.Random(2)
@@ -69,8 +84,10 @@ def test_pairs_are_compatible_if_merging_leaves_them(ours):
 
 
 def test_rows(spark, theirs):
-    texts = ["Hello there", None, "", "x " * 30000, "Hello there"]
-    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
+    texts = ["Hello there", None, "", "x " * 30000, "Hello there", "page one\x1f page two\n"]
+    rows = [(i, t, "z") for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, ids string")
+    assert B.encoding_digests(df, PATH).count() == len(rows) + 1 == B.encode_documents(df, PATH).count()
     got = {r.doc_id: r for r in B.encoding_digests(df, PATH).collect()}
     ids = {r.doc_id: r.ids for r in B.encode_documents(df, PATH).collect()}
     back = {r.doc_id: r.text for r in B.decode_documents(B.encode_documents(df, PATH), PATH).collect()}

@@ -62,7 +62,9 @@ def test_stages(spark):
 def test_stages_take_odd_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     long = "some words of a text that is long enough to stay " * 40
-    odd = spark.createDataFrame([(None, None, None, None, None), (-5, "", "en", None, 0), (-6, long, None, None, 9), (-6, long, None, None, 9)], docs.schema)
+    odd = [(None, None, None, None, None), (-5, "", "en", None, 0), (-6, long, None, None, 9), (-6, long, None, None, 9),
+           (-7, "\x1f " + long.replace("text", "te\x1cxt") + "\n", "en", "web", 5)]
+    odd = spark.createDataFrame(odd, docs.schema)
     for some in (docs.unionByName(odd), docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             some = stage(spark, some, SF)
