@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -31,10 +32,14 @@ def _own_root() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the shared folder of the cluster.
 
-    ``spark.checkpoint.dir`` names that folder.  Only where it is unset, as in
-    tests on one machine, does a temporary folder take its place.
+    ``spark.checkpoint.dir`` names that folder.  Only where it is unset and the
+    whole of Spark is on one machine, as in tests, does a temporary folder take
+    its place; on a cluster no other machine would see that one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_root()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    root = root or _own_root()
     return f"{root.rstrip('/')}/strandline-{uuid.uuid4().hex}"
 
 
@@ -139,10 +144,11 @@ def with_texts(
                 arrays[at] = pa.array(new, arrays[at].type)
                 if n_at >= 0:
                     arrays[n_at] = pa.array([None if x is None else len(x) for x in new], arrays[n_at].type)
-                part = pa.RecordBatch.from_arrays(arrays, names=list(batch.schema.names))
+                part = pa.RecordBatch.from_arrays(arrays, names=names)
                 yield part if stay is None else part.filter(pa.array(stay, pa.bool_()))
 
-    return df.mapInArrow(run, T.StructType(fields))
+    plain = df.toDF(*(f"c{i}" for i in range(len(names))))  # names with dots cannot be passed on
+    return plain.mapInArrow(run, T.StructType(fields))
 
 
 def present(df: DataFrame, name: str, kind: str) -> Column:
@@ -150,10 +156,41 @@ def present(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-def dealt_out(df: DataFrame, n: str, chunk: int = 4096) -> DataFrame:
+def row_of() -> Column:
+    """All columns of a row as one struct, so that no name of an operator's own
+    can meet one of its caller's; ``row.*`` gives them back."""
+    return F.struct("*").alias("row")
+
+
+#: A key is hot if it has more than this part of the rows; there are at most so many.
+HOT_KEYS = 1024
+
+
+def joined_evenly(rows: DataFrame, facts: DataFrame, key: str, fact_key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined with their key's one row of ``facts``, where ``n`` says
+    how many of all ``total`` rows have the key.
+
+    Rows of hot keys would meet in one task; their facts, at most HOT_KEYS rows
+    by definition, are broadcast instead.  Both tables are read twice, so they
+    should be written ones.
+    """
+    same = F.col(key) == F.col(fact_key)
+    hot = F.col(n) * HOT_KEYS > total
+    many = F.broadcast(facts.where(hot))
+    return (
+        rows.join(many, same)
+        .unionByName(rows.join(many.select(fact_key), same, "left_anti").join(facts.where(~hot), same))
+        .drop(fact_key, n)
+    )
+
+
+def dealt_out(df: DataFrame, n: str, most: int, chunk: int = 4096) -> DataFrame:
     """Each row ``n`` times with _copy from 0, in chunks so that no array grows
-    with ``n``."""
+    with ``n``; ``most`` is the largest ``n``.  The chunks of a row that has
+    several are spread over tasks before they become rows."""
     chunks = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({n} - 1) div {chunk}"))))
+    if most > chunk:
+        chunks = chunks.repartition(*chunks.columns)
     first = F.col("_chunk") * chunk
     last = F.least(first + (chunk - 1), F.col(n) - 1)
     return chunks.withColumn("_copy", F.explode(F.sequence(first, last))).drop("_chunk")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch
+from strandline.llm.common import Scratch, joined_evenly
 
 _EDGE = "u long, v long"
 
@@ -68,28 +68,30 @@ def components(edges: DataFrame, scratch: Scratch, contract: bool = True) -> Dat
     least of its component, and that least node.
 
     Links are first contracted within partitions, unless ``contract`` is False
-    because they come so, with u > v; then large-star and small-star steps alternate (Kiveris and others, "Connected Components in
-    MapReduce and Beyond") until all links are stars about least nodes.  All
-    links stay in tables; each step is written to the shared folder, and no
-    step gathers a node's neighbours.  No links give no rows.
+    because they come so, with u > v; then large-star and small-star steps
+    alternate (Kiveris and others, "Connected Components in MapReduce and
+    Beyond") until all links are stars about least nodes.  All links stay in
+    tables; each step is written to the shared folder, no step gathers a node's
+    neighbours, and those of a node with many are spread.  No links give no
+    rows.
     """
     edges = edges.where("u <> v")
     stars = scratch.keep((contracted(edges) if contract else edges).distinct())
     while not _done(stars):
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_least(both, both.where("v > u")).distinct()
-        small = _to_least(large, large, own=True)
-        next_ = scratch.keep(small.distinct())
-        scratch.drop(stars)
+        large = scratch.keep(_to_least(both, both.where("v > u"), scratch).distinct())
+        next_ = scratch.keep(_to_least(large, large, scratch, own=True).distinct())
+        scratch.drop(stars, large)
         stars = next_
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _to_least(neighbours: DataFrame, moved: DataFrame, own: bool = False) -> DataFrame:
+def _to_least(neighbours: DataFrame, moved: DataFrame, scratch: Scratch, own: bool = False) -> DataFrame:
     """For each link (u, v) of ``moved``, v linked to u's least neighbour or
     itself; with ``own``, u as well."""
-    least = neighbours.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("u_"), "least")
-    joined = moved.join(least, F.col("u") == F.col("u_")).withColumn("m", F.least("u", "least"))
+    least = neighbours.groupBy(F.col("u").alias("u_")).agg(F.min("v").alias("least"), F.count("*").alias("n"))
+    least = scratch.keep(least)
+    joined = joined_evenly(moved, least, "u", "u_", "n", neighbours.count()).withColumn("m", F.least("u", "least"))
     out = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if own:
         out = out.union(least.select(F.col("u_").alias("u"), F.least("u_", "least").alias("v")))

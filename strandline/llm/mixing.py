@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WORD, Scratch, dealt_out, present
+from strandline.llm.common import WORD, Scratch, dealt_out, present, row_of
 
 SEED = 17
 MOST_TIMES = 3
@@ -111,7 +111,9 @@ class Flow:
 def route(sizes: dict[tuple, int], quota: dict, most: int = MOST_TIMES) -> dict[tuple, dict]:
     """Words from each pattern (a tuple of sources) to each of its sources, so
     that quotas are met as far as can be and repetition costs least."""
-    patterns, sources = list(sizes), list(quota)
+    # of flows that cost the same the first found counts, so the order is fixed
+    by_code_point = lambda s: (s is None, s or "")
+    patterns, sources = sorted(sizes, key=lambda p: [*map(by_code_point, p)]), sorted(quota, key=by_code_point)
     place = {s: len(patterns) + i for i, s in enumerate(sources)}
     start, end = len(patterns) + len(sources), len(patterns) + len(sources) + 1
     flow = Flow(end + 1)
@@ -162,12 +164,13 @@ class Mix:
         self.alike = self.scratch.keep(rows.withColumn("_order", self._order()))
         sums = (
             self.alike.groupBy("_pattern")
-            .agg(F.sum(F.col("_size") * F.col("_n")).alias("size"), F.count("*").alias("rows"))
+            .agg(F.sum(F.col("_size") * F.col("_n")).alias("size"), F.count("*").alias("rows"), F.max("_n").alias("most"))
             .limit(MOST_PATTERNS + 1)
             .collect()
         )
         if len(sums) > MOST_PATTERNS:
             raise ValueError(f"more than {MOST_PATTERNS} patterns of sources")
+        self.most_alike = max((r["most"] for r in sums), default=0)
         sizes = {r["_pattern"]: r["size"] for r in sums}
         of = {p: tuple(json.loads(p)) for p in sizes}
         self.source_sizes: dict[str | None, int] = {}
@@ -257,7 +260,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """One row for each row of the documents: key, _pattern, size and taken
         (words taken, repeats counted)."""
-        rows = dealt_out(self._more(self.alike), "_n")
+        rows = dealt_out(self._more(self.alike), "_n", self.most_alike)
         times = F.col("_times") + F.when(F.col("_copy") < F.col("_more"), 1).otherwise(0)
         return rows.select(
             F.col("_key").alias(self.key),
@@ -269,17 +272,16 @@ class Mix:
     def rows(self, docs: DataFrame) -> DataFrame:
         """The rows of ``docs`` as often as they are taken.  Like documents
         count as one here: ``whole`` must hold."""
-        marked = docs.withColumns(
-            {
-                "_pattern": _pattern(self.membership),
-                "_key": present(docs, self.key, "long"),
-                "_size": words_of(F.col(self.text).cast("string")),
-                "_n": F.lit(1).cast("long"),
-            }
+        marked = docs.select(
+            row_of(),
+            _pattern(self.membership).alias("_pattern"),
+            present(docs, self.key, "long").alias("_key"),
+            words_of(F.col(self.text).cast("string")).alias("_size"),
+            F.lit(1).cast("long").alias("_n"),
         ).withColumn("_order", self._order())
         times = F.col("_times") + F.when(F.col("_more") > 0, 1).otherwise(0)
         often = self._more(marked).withColumn("_time", F.explode(F.sequence(F.lit(0), F.lit(self.most - 1))))
-        return often.where(F.col("_time") < times).select(*docs.columns)
+        return often.where(F.col("_time") < times).select("row.*")
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -306,5 +308,10 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
 
 def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``docs``, unchanged, each as often as the mix takes it: not
-    at all, or up to MOST_TIMES times."""
+    at all, or up to MOST_TIMES times.
+
+    Null texts have no words and are not taken; a null source is a source.  Rows
+    alike in source, key and number of words are taken equally often.  All
+    columns are given back, whatever their names; an empty table gives no rows.
+    """
     return Mix(docs, F.array(present(docs, source, "string")), key, text, whole=True).rows(docs)

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import present
+from strandline.llm.common import present, row_of
 
 ROUNDS = 8
 
@@ -286,23 +286,28 @@ def pseudonym(value: Column, kind: Column, key: str, backwards: bool = False) ->
 
 
 def pseudonymised(df: DataFrame, key: str, text: str = "text", backwards: bool = False) -> DataFrame:
-    """``df`` with the values in its texts replaced by pseudonyms, and _n_email
-    to _n_date, how many of each kind were.
+    """``df`` with the values in its texts replaced by pseudonyms; all rows and
+    columns stay, whatever their names.
 
-    Texts are searched whole; null texts stay null, with counts of 0.
-    ``backwards`` puts the values back.
+    Texts are searched whole; null texts stay null; equal texts become equal
+    ones; an empty table gives no rows.  ``backwards`` puts the values back.
     """
-    body = F.col(text)
+    new = _searched(df.select(row_of(), F.col(text).alias("body")), key, backwards)
+    return new.select(*(F.col("body" if c == text else f"row.`{c}`").alias(c) for c in df.columns))
+
+
+def _searched(rows: DataFrame, key: str, backwards: bool = False) -> DataFrame:
+    """``rows`` with the pseudonyms in the texts of body, and found: the value
+    and the kind of each match."""
+    body = F.col("body")
     none = F.array().cast("array<struct<v:string,k:string>>")
     matches = F.transform(
         F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("v"), kind_of(m).alias("k"))
     )
-    found = df.withColumn("_found", F.when(body.rlike(MAYBE), matches).otherwise(none))
-    new = F.transform("_found", lambda x: pseudonym(x.v, x.k, key, backwards))
+    found = rows.withColumn("found", F.when(body.rlike(MAYBE), matches).otherwise(none))
+    new = F.transform("found", lambda x: pseudonym(x.v, x.k, key, backwards))
     woven = F.zip_with(F.split(body, PATTERN, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
-    out = F.when(F.size("_found") > 0, F.array_join(woven, "")).otherwise(body)
-    count = lambda k: F.coalesce(F.size(F.filter("_found", lambda x: x.k == k)).cast("long"), F.lit(0))
-    return found.withColumns({text: out} | {f"_n_{k}": count(k) for k in KINDS}).drop("_found")
+    return found.withColumn("body", F.when(F.size("found") > 0, F.array_join(woven, "")).otherwise(body))
 
 
 def pseudonym_rows(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -313,5 +318,6 @@ def pseudonym_rows(docs: DataFrame, secret: str, key: str = "doc_id", text: str
     like a value (a wrong check digit, no such day) stays.  Other columns are
     not read; repeated rows are treated each; an empty table gives no rows.
     """
-    some = docs.select(present(docs, key, "long").alias(key), F.col(text).cast("string").alias("text"))
-    return pseudonymised(some, secret).select(key, "text", *(F.col(f"_n_{k}").alias(f"n_{k}") for k in KINDS))
+    some = docs.select(present(docs, key, "long").alias(key), F.col(text).cast("string").alias("body"))
+    count = lambda k: F.coalesce(F.size(F.filter("found", lambda x: x.k == k)).cast("long"), F.lit(0))
+    return _searched(some, secret).select(key, F.col("body").alias("text"), *(count(k).alias(f"n_{k}") for k in KINDS))

@@ -107,7 +107,7 @@ def shard_manifest(
     alike = scratch.keep(
         alike.withColumns({"_shard": jump_hash(F.col("_key"), shards), "_grown": jump_hash(F.col("_key"), shards + 1)})
     )
-    distinct = alike.count()
+    distinct, most = alike.agg(F.count("*"), F.coalesce(F.max("_n"), F.lit(0))).first()
     buckets = max(1, -(-distinct // (shards * rows_per_bucket)))
     dealt = alike.withColumn("_bucket", F.pmod(F.xxhash64("_key", "_size", "_crc"), F.lit(buckets)))
 
@@ -122,7 +122,7 @@ def shard_manifest(
         "_before", F.coalesce(F.sum("_n").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ).join(starts, ["_shard", "_bucket"])
     first = F.col("_start") + F.col("_before")
-    return dealt_out(placed.withColumn("_first", first), "_n").select(
+    return dealt_out(placed.withColumn("_first", first), "_n", most).select(
         F.col("_key").alias(key),
         F.col("_size").alias("size"),
         F.col("_crc").alias("text_crc32"),

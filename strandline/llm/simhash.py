@@ -11,10 +11,12 @@ A fingerprint has 2,081 variants within 2 of 64 bits; sent one by one they
 would be a hundred times the fingerprints.  A variant's leading bits decide its
 cell, and a fingerprint is sent once to each cell where it has variants; those
 get listed in the cell.  The number of leading bits follows the number of
-fingerprints.  Cells that would hold too many variants, as when a third of all
-fingerprints agree in the leading bits, are split by the syndrome of the other
-bits (the exclusive or of the places of the set bits), over which the variants
-of any one fingerprint are spread evenly.
+fingerprints.  Cells that would hold too many variants are split by the
+syndrome of the other bits (the exclusive or of the places of the set bits),
+over which the variants of any one fingerprint are spread evenly.  In a cell
+that even MOST_SPLIT bits of it leave too full, as when a third of all
+fingerprints agree in the leading bits, variants are sent one by one after all:
+no more than 2,081 fingerprints can have one in common, so no group grows.
 """
 
 from __future__ import annotations
@@ -30,12 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import Scratch, per_text, present
+from strandline.llm.common import Scratch, joined_evenly, per_text, present, row_of
 from strandline.llm.graph import components, star_edges
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: About how many variants a cell holds; and the bits that may name cells at most.
-CELL_VARIANTS, MOST_PREFIX, LEAST_PREFIX = 1 << 20, 16, 4
+CELL_VARIANTS, MOST_PREFIX, LEAST_PREFIX = 1 << 20, 20, 4
+#: Bits of the syndrome that split a cell at most.
+MOST_SPLIT = 3
 #: A task lists at most about so many variants at once.
 HELD_VARIANTS = 1 << 21
 
@@ -104,26 +108,34 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     prefix = min(MOST_PREFIX, max(LEAST_PREFIX, prefix))
     low = 64 - prefix
     lead = F.shiftrightunsigned("fp", low)
-    # at most 2**MOST_PREFIX counts come to the driver
+    # at most 2**MOST_PREFIX counts come to the driver, 16 bytes each
     counts = np.zeros(1 << prefix, np.int64)
-    for row in distinct.groupBy(lead.cast("int").alias("c")).count().collect():
-        counts[row["c"]] = row["count"]
+    held = distinct.groupBy(lead.cast("int").alias("c")).count().toArrow()
+    counts[held.column(0).to_numpy()] = held.column(1).to_numpy()
     load = np.zeros_like(counts)
     places = np.arange(len(counts))
     masks = _masks(prefix, half)
     for m in masks:
         load += counts[places ^ m] * _variants_within(low, half - m.bit_count())
-    split = np.clip(np.ceil(np.log2(np.maximum(load, 1) / (2 * CELL_VARIANTS))), 0, 6).astype(int)
+    split = np.maximum(0, np.ceil(np.log2(np.maximum(load, 1) / (2 * CELL_VARIANTS)))).astype(int)
 
     sent = distinct.select("fp", F.explode(F.array(*[lead.bitwiseXOR(F.lit(m).cast("long")) for m in masks])).alias("cell"))
+    one_by_one = None
     if split.any():
-        spark = distinct.sparkSession
-        hot = spark.createDataFrame([(int(c), int(split[c])) for c in np.flatnonzero(split)], "hot long, bits int")
-        # at most 2**MOST_PREFIX rows are broadcast
-        sent = sent.join(F.broadcast(hot), F.col("cell") == F.col("hot"), "left").select(
+        hot = np.flatnonzero(split)
+        # at most 2**MOST_PREFIX rows are broadcast, 12 bytes each
+        bits = distinct.sparkSession.createDataFrame(pd.DataFrame({"hot": hot, "bits": split[hot]}), "hot long, bits int")
+        sent = sent.join(F.broadcast(bits), F.col("cell") == F.col("hot"), "left").select(
             "fp", "cell", F.coalesce("bits", F.lit(0)).alias("bits")
         )
-        sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("bits")) - 1)))
+        if split.max() > MOST_SPLIT:
+            one_by_one = _variant_links(sent.where(F.col("bits") > MOST_SPLIT), lead, prefix, half)
+            sent = sent.where(F.col("bits") <= MOST_SPLIT)
+        # a fingerprint with one variant in the cell goes to that one's part only, others to all
+        body = F.col("fp").bitwiseAND((1 << low) - 1)
+        parts = F.call_function("shiftleft", F.lit(1), F.col("bits"))
+        own = F.when(F.bit_count(lead.bitwiseXOR(F.col("cell"))) == half, _syndrome_of(body).bitwiseAND(parts - 1))
+        sent = sent.withColumn("part", F.explode(F.sequence(F.coalesce(own, F.lit(0)), F.coalesce(own, parts - 1))))
     else:
         sent = sent.select("fp", "cell", F.lit(0).alias("bits"), F.lit(0).alias("part"))
 
@@ -133,7 +145,30 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         )
         return pd.DataFrame({"u": u, "v": v})
 
-    return sent.groupBy("cell", "part").applyInPandas(within, "u long, v long")
+    found = sent.groupBy("cell", "part").applyInPandas(within, "u long, v long")
+    return found if one_by_one is None else found.unionByName(one_by_one)
+
+
+def _variant_links(sent: DataFrame, lead: Column, prefix: int, half: int) -> DataFrame:
+    """The links within cells (fp, cell) whose variants are shuffled one by one:
+    each fingerprint to the least that has the variant as well."""
+    low = 64 - prefix
+    flips = [F.array(*[F.lit(m).cast("long") for m in _masks(low, half - d)]) for d in range(half + 1)]
+    flips = F.get(F.array(*flips), F.bit_count(lead.bitwiseXOR(F.col("cell"))))
+    variants = sent.select("fp", "cell", F.explode(flips).alias("flip"))
+    variants = variants.withColumn("body", F.col("fp").bitwiseAND((1 << low) - 1).bitwiseXOR(F.col("flip")))
+    # no more fingerprints than a ball has members share a variant
+    shared = variants.groupBy("cell", "body").agg(F.sort_array(F.collect_set("fp")).alias("fps")).where(F.size("fps") > 1)
+    return shared.select(F.explode(F.slice("fps", F.lit(2), F.size("fps"))).alias("u"), F.get("fps", F.lit(0)).alias("v")).distinct()
+
+
+def _syndrome_of(x: Column) -> Column:
+    """As ``_syndrome``, MOST_SPLIT bits of it."""
+    out = F.lit(0)
+    for i in range(MOST_SPLIT):
+        of = sum(1 << p for p in range(63) if p >> i & 1)  # bodies have fewer bits than 63
+        out = out + (F.bit_count(x.bitwiseAND(of)) % 2) * (1 << i)
+    return out
 
 
 def _syndrome(x: np.ndarray, bits: int) -> np.ndarray:
@@ -192,14 +227,16 @@ def cell_links(signed: np.ndarray, cell: int, prefix: int, half: int, bits: int,
     return star_edges(signed[np.concatenate(a)], signed[np.concatenate(b)])
 
 
-def _classes(found: DataFrame, scratch: Scratch, key: str, radius: int) -> DataFrame:
-    """fp, and the root fingerprint of its component, for each distinct one."""
-    distinct = scratch.keep(found.select("fp").distinct())
+def _firsts(found: DataFrame, first: Column, scratch: Scratch, radius: int) -> DataFrame:
+    """For each distinct fingerprint fp_: first, the least ``first`` in its
+    component, root, the component, and n, how many rows have the fingerprint."""
+    distinct = scratch.keep(found.groupBy(F.col("fp").alias("fp_")).agg(F.min(first).alias("own"), F.count("*").alias("n")))
     # a cell's links are stars; a second function in one task would need a second Python worker
-    roots = components(links(distinct, radius), scratch, contract=False)
-    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
-        F.col("fp").alias("fp_"), F.coalesce("root", "fp").alias("root")
-    )
+    roots = components(links(distinct.select(F.col("fp_").alias("fp")), radius), scratch, contract=False)
+    classes = distinct.join(roots, F.col("fp_") == F.col("node"), "left")
+    classes = scratch.keep(classes.select("fp_", "own", "n", F.coalesce("root", "fp_").alias("root")))
+    by_root = classes.groupBy(F.col("root").alias("root_")).agg(F.min("own").alias("first"), F.count("*").alias("n_fps"))
+    return joined_evenly(classes.drop("own"), scratch.keep(by_root), "root", "root_", "n_fps", classes.count())
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -212,17 +249,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     """
     scratch = Scratch(docs.sparkSession)
     found = scratch.keep(fingerprints(docs, key, text))
-    classes = scratch.keep(_classes(found, scratch, key, radius))
-    least = found.groupBy("fp").agg(F.min(key).alias("least")).withColumnRenamed("fp", "fp_l")
-    by_root = (
-        classes.join(least, F.col("fp_") == F.col("fp_l"))
-        .groupBy("root")
-        .agg(F.min("least").alias("component_id"))
-        .withColumnRenamed("root", "root_")
-    )
-    named = scratch.keep(classes.join(by_root, F.col("root") == F.col("root_")).select("fp_", "component_id"))
-    return found.join(named, F.col("fp") == F.col("fp_")).select(
-        key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    named = scratch.keep(_firsts(found, F.col(key), scratch, radius).drop("root"))
+    return joined_evenly(found, named, "fp", "fp_", "n", found.count()).select(
+        key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id")
     )
 
 
@@ -230,28 +259,20 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     """The rows of ``docs`` with the least key of their component, unchanged:
     one row of each component, whichever of several rows with the same key and
     text.  Null keys come last; of several texts with the least key, that of
-    the least hash stays."""
+    the least hash stays.  All columns are given back, whatever their names; an
+    empty table gives no rows."""
     scratch = Scratch(docs.sparkSession)
     found = scratch.keep(fingerprints(docs, key, text))
-    classes = _classes(found, scratch, key, radius)
     place = F.struct(F.col(key).isNull().alias("no"), F.coalesce(key, F.lit(0)).alias("id"), F.col("text_hash").alias("h"))
-    by_fp = found.groupBy("fp").agg(F.min(place).alias("first"))
-    chosen = (
-        classes.join(by_fp, F.col("fp_") == F.col("fp"))
-        .groupBy("root")
-        .agg(F.min("first").alias("first"))
-        .select(F.col("first.no").alias("_no"), F.col("first.id").alias("_id"), F.col("first.h").alias("_h"))
-    )
-    chosen = scratch.keep(chosen.distinct())
-    own = docs.withColumns(
-        {
-            "_own_no": F.col(key).isNull(),
-            "_own_id": F.coalesce(F.col(key).cast("long"), F.lit(0)),
-            "_own_h": text_hash(F.col(text)),
-        }
+    firsts = _firsts(found, place, scratch, radius)
+    chosen = scratch.keep(firsts.select("first.*").distinct().select(*(F.col(c).alias("its_" + c) for c in ("no", "id", "h"))))
+    own = docs.select(
+        row_of(),
+        F.col(key).isNull().alias("no"),
+        F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("id"),
+        text_hash(F.col(text).cast("string")).alias("h"),
     )
-    same = (F.col("_own_no") == F.col("_no")) & (F.col("_own_id") == F.col("_id")) & (F.col("_own_h") == F.col("_h"))
-    kept = own.join(chosen, same, "left_semi")
     if found.groupBy(key, "text_hash").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["_own_no", "_own_id", "_own_h"])
-    return kept.drop("_own_no", "_own_id", "_own_h")
+        own = own.dropDuplicates(["no", "id", "h"])  # where they lie first, so that a row found often meets the join once
+    same = (F.col("no") == F.col("its_no")) & (F.col("id") == F.col("its_id")) & (F.col("h") == F.col("its_h"))
+    return own.join(chosen, same, "left_semi").select("row.*")

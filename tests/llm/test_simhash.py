@@ -40,11 +40,14 @@ def test_fingerprint(text):
     assert S.fingerprint(text) == slow_fingerprint(text)
 
 
-@pytest.mark.parametrize("cell", [1 << 20, 300])
-def test_links_keep_the_components_of_all_close_pairs(spark, monkeypatch, cell):
-    """With tiny cells every one is split by syndrome as well."""
+@pytest.mark.parametrize("cell, ways", [(1 << 20, "whole"), (20000, "split"), (1500, "both"), (300, "one by one")])
+def test_links_keep_the_components_of_all_close_pairs(spark, monkeypatch, cell, ways):
+    """With small cells they are split by syndrome; with smaller ones variants
+    are sent one by one."""
     monkeypatch.setattr(S, "CELL_VARIANTS", cell)
     monkeypatch.setattr(S, "MOST_PREFIX", 4)
+    used, single = [], S._variant_links
+    monkeypatch.setattr(S, "_variant_links", lambda *a: used.append(1) or single(*a))
     fps = near_fps(240)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
@@ -53,6 +56,19 @@ def test_links_keep_the_components_of_all_close_pairs(spark, monkeypatch, cell):
     got = [roots.get(x, x) for x in signed]
     want = brute(fps)
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want)) < len(fps)
+    assert bool(used) == (ways in ("both", "one by one"))
+
+
+def test_one_hot_cell(spark, monkeypatch):
+    """All fingerprints agree in their leading bits, and most have one root."""
+    monkeypatch.setattr(S, "CELL_VARIANTS", 4000)
+    monkeypatch.setattr("strandline.llm.common.HOT_KEYS", 8)
+    fps = [x >> 20 for x in near_fps(200, 5)] + [1 << i for i in range(40)]
+    fps = list(dict.fromkeys(fps))
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    roots = {r.node: r.root for r in components(S.links(df), Scratch(spark)).collect()}
+    got, want = [roots.get(x, x) for x in fps], brute(fps)
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want)) < len(fps)
 
 
 def test_a_cell_in_slices(monkeypatch):
