@@ -23,7 +23,7 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"), words=secrets.ranked_words(tokenizer_path()))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

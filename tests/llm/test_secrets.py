@@ -3,10 +3,12 @@ import itertools
 import math
 import random
 import re
+import time
 
 import pytest
 
 from strandline.llm import secrets as S
+from strandline.llm.queries import tokenizer_path
 
 BASE = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
@@ -49,13 +51,16 @@ def test_guess_cost_adds_what_no_pattern_catches():
     assert found == {"x7Kp!q9Lm", "k8#Qz!p2w"}
 
 
-def brute_bits(value):
+MANY = S.Guesses(S.ranked_words(tokenizer_path()))
+
+
+def brute_bits(value, guesses):
     """The least cost over all segmentations, by enumerating cuts."""
     lower = value.lower()
     plain = lower.translate(S._LEET)
     piece = {}
     for at in range(len(value)):
-        for end, cost in itertools.chain(S._segments(value, at, lower, plain), S._runs(value, lower).get(at, ())):
+        for end, cost in itertools.chain(guesses._segments(value, at, lower, plain), S._runs(value, lower).get(at, ())):
             piece[at, end] = min(cost, piece.get((at, end), math.inf))
     best = math.inf
     for cuts in range(1 << (len(value) - 1)):
@@ -65,17 +70,58 @@ def brute_bits(value):
     return best
 
 
-@pytest.mark.parametrize("value", ["a", "pass12345", "aaaa1999x", "qwertzq", "P@ssw0rd!", "abab0101", "x7Kp!q9Lm", "2020-01-02z"])
-def test_cost_is_the_least_over_all_segmentations(value):
-    assert S.guess_bits(value) == pytest.approx(brute_bits(value))
-    full = S.guess_bits(value)
-    assert (S.guess_bits(value, 20.0) >= 20.0) == (full >= 20.0)
+@pytest.mark.parametrize("guesses", [S.Guesses(), MANY], ids=["few", "many"])
+@pytest.mark.parametrize("value", ["a", "pass12345", "aaaa1999x", "qwertzq", "P@ssw0rd!", "abab0101", "x7Kp!q9Lm", "2020-01-02z", "Friend-SHIP"])
+def test_cost_is_the_least_over_all_segmentations(value, guesses):
+    full = guesses.bits(value)
+    assert full == pytest.approx(brute_bits(value, guesses))
+    assert (guesses.bits(value, 20.0) >= 20.0) == (full >= 20.0)
 
 
 def test_long_values_stop_early():
     value = "".join(random.Random(1).choices("abcXYZ019!#", k=200000))
-    assert S.guess_bits(value, S.MIN_BITS) >= S.MIN_BITS
-    assert S.guess_bits("Zq9!" * 50000, S.MIN_BITS) < S.MIN_BITS  # a repeat
+    for guesses in (S.Guesses(), MANY):
+        assert guesses.bits(value, S.MIN_BITS) >= S.MIN_BITS
+        assert guesses.bits("Zq9!" * 50000, S.MIN_BITS) < S.MIN_BITS  # a repeat
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "the secret: happiness is near", "secret: friendship", "auth: required-by", "token: ${API_TOKEN_VALUE}", "password: {{ db_password }}",
+        "pwd=$DB_PASSWORD", "secret_key = os.environ['SECRET_KEY']", "api-key: <your-api-key-here>", "password: ********", "passcode: %PASSCODE%.",
+    ],
+)
+def test_everyday_words_and_references_are_no_secrets(text):
+    assert S.spans_of(text, MANY) == []
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("secret_key=Zx9kQ2LmVRt8zzq1pp", "Zx9kQ2LmVRt8zzq1pp"),
+        ("SECRET_KEY = 'x9$kqLm2!vRt8-#'", "x9$kqLm2!vRt8-#"),
+        ("client-secret: Wq7!mZ0pLk", "Wq7!mZ0pLk"),
+        ("signing_key_value=Wq7!mZ0pLk", "Wq7!mZ0pLk"),
+        ("password: ${X:-Wq7!mZ0pLk}", "${X:-Wq7!mZ0pLk}"),
+    ],
+)
+def test_credential_names(text, value):
+    assert [text[s:e] for s, e, k in S.spans_of(text, MANY) if k == "guess"] == [value]
+    assert S._maybe([text]) == [True]
+
+
+def test_many_spans_take_linear_time():
+    line = "token=abcdefghijkl{:08d} pwd=short1\n"
+    text = "".join(line.format(i) for i in range(30000))  # over 1 MB
+    began = time.process_time()
+    assert sum(k == "assign" for *_, k in S.spans_of(text, MANY)) == 30000
+    assert time.process_time() - began < 5
+
+
+def test_too_many_words_are_not_sent(spark):
+    with pytest.raises(ValueError):
+        S.scan_secrets(spark.createDataFrame([(1, "x")], "doc_id long, text string"), words=["x" * 25])
 
 
 def test_rows(spark):
