@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.sources.shared import Scratch
+
 # Fixed value: the weight of a new sample.
 ALPHA = 0.3
 
@@ -14,14 +18,15 @@ def nearest_ranks(rows: DataFrame, group: str, value: str, percents: list[int],
     """Percentiles that are values of the sample: element floor(p / 100 * n) in
     order, the last one at most; 0.0 for a group without values.
 
-    Equal values are counted first.  Approximate quantiles cut each group into
-    buckets; sums by bucket tell in which one an element lies, and only that
-    bucket is ranked.  The result is exact, and no task ranks a whole group.
+    Equal values are counted first, in one pass over the rows.  Approximate
+    quantiles cut each group's distinct values into buckets; sums by bucket tell
+    in which one an element lies, and only that bucket is ranked.  The result is
+    exact, and no task ranks a whole group.
     """
-    known = rows.where(F.col(value).isNotNull())
-    counts = known.groupBy(group, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    all_ = Scratch(rows.sparkSession).keep(rows.groupBy(group, F.col(value).alias("_v")).agg(F.count("*").alias("_n")))
+    counts = all_.where("_v is not null")
     steps = [i / buckets for i in range(1, buckets)]
-    cuts = known.groupBy(group).agg(F.percentile_approx(value, steps, 10 * buckets).alias("_cuts"))
+    cuts = counts.groupBy(group).agg(F.percentile_approx("_v", steps, 10 * buckets).alias("_cuts"))
     below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     placed = counts.join(cuts, group).withColumn("_b", below).drop("_cuts")
 
@@ -45,25 +50,26 @@ def nearest_ranks(rows: DataFrame, group: str, value: str, percents: list[int],
     found = placed.join(wanted, [group, "_b"]).withColumn("_upto", end).where("_at < _upto and _at >= _upto - _n")
     of = lambda p: F.max(F.when(F.col("_p") == p, F.col("_v")))
     values = found.groupBy(group).agg(*[of(p).alias(f"p{p}") for p in percents])
-    return rows.select(group).distinct().join(values, group, "left").na.fill(0.0, [f"p{p}" for p in percents])
+    return all_.select(group).distinct().join(values, group, "left").na.fill(0.0, [f"p{p}" for p in percents])
 
 
 def ema(rows: DataFrame, group: str, order: str, value: str, alpha: float = ALPHA) -> DataFrame:
     """The exponential moving average of each group's values in order; the
     first one seeds it, values that are not positive are passed over.
 
-    A value's weight is a power of 1 - alpha by its place from the end; those
-    more than 2,000 places back weigh less than any double can show and are
-    left out before values are gathered.
+    It is a sum of the values, each weighed by a power of 1 - alpha by its place
+    from the end.  Values so far back that no double can show their weight are
+    left out before the shuffle; how far that is follows from alpha.
     """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be over 0 and at most 1")
+    most = 1 if alpha == 1 else math.ceil(1075 * math.log(2) / -math.log1p(-alpha))
     good = rows.where(F.col(value) > 0)
     back = F.row_number().over(W.partitionBy(group).orderBy(F.desc(order)))
-    recent = good.withColumn("_back", back).where("_back <= 2000")
-    samples = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value])
-    fold = F.aggregate(
-        F.slice(samples, 2, 2000), F.element_at(samples, 1), lambda s, x: s * (1 - alpha) + x * alpha
-    )
-    return recent.groupBy(group).agg(fold.alias("ema"))
+    recent = good.withColumn("_back", back).where(F.col("_back") <= most)
+    weight = lambda n: F.pow(F.lit(1.0 - alpha), n - 1)
+    seed = F.max_by(value, "_back") * weight(F.max("_back")) * (1 - alpha)
+    return recent.groupBy(group).agg((F.sum(F.col(value) * weight(F.col("_back")) * alpha) + seed).alias("ema"))
 
 
 def average_ms(nanoseconds: Column, n: Column) -> Column:

@@ -107,6 +107,16 @@ def encoded(value: Column, k: int, m: int) -> Column:
     return shards(value)
 
 
+def reconstructed(shards: Column, k: int, m: int, at: int) -> Column:
+    """One shard of an array of shards, lost ones null."""
+
+    @F.pandas_udf("binary")
+    def shard(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else reconstruct(list(x), k, m, at))
+
+    return shard(shards)
+
+
 def decoded(shards: Column, k: int, m: int) -> Column:
     """The value of an array of shards, lost ones null."""
 

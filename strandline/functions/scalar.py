@@ -34,6 +34,29 @@ def long_from_key(key: Column, place: int) -> Column:
     return F.conv(F.hex(F.substring(key, 2 + 8 * place, 8)), 16, -10).cast("long")
 
 
+def internal_key(key: Column, seq: Column) -> Column:
+    """A key with its version, binary: the key, a zero byte, and what is left
+    of 2**64 - 1, big-endian, so that newer versions stand before older ones."""
+    return F.concat(key.cast("binary"), F.lit(b"\0"), F.unhex(F.lpad(F.hex(F.bitwise_not(seq.cast("long"))), 16, "0")))
+
+
+def key_of_internal(internal: Column) -> Column:
+    """The key of such a key; the whole if it is too short for a version."""
+    n = F.octet_length(internal)
+    return F.when(n > 9, F.substring(internal, F.lit(1), n - 9)).otherwise(internal)
+
+
+def seq_of_internal(internal: Column) -> Column:
+    """The version of such a key; 0 if it is too short for one."""
+    last = F.conv(F.hex(F.substring(internal, -8, 8)), 16, -10).cast("long")
+    return F.when(F.octet_length(internal) > 9, F.bitwise_not(last)).otherwise(F.lit(0).cast("long"))
+
+
+def epoch_seconds(ts: Column) -> Column:
+    """Whole seconds since 1970, in UTC."""
+    return F.unix_seconds(ts.cast("timestamp"))
+
+
 def human_size(n: Column) -> Column:
     """A size with one decimal, ties to even, in GB, MB or KB of 1024s, or in
     whole bytes."""
@@ -131,5 +154,6 @@ def load_key(low: Column, tag: str, thread: Column, n: Column) -> Column:
 
 
 def json_text(s: Column) -> Column:
-    """A text as a JSON string, quotes included."""
-    return F.regexp_extract(F.to_json(F.struct(s.alias("s"))), r'^\{"s":(.*)\}$', 1)
+    """A text as a JSON string, quotes included; null of null."""
+    whole = F.to_json(F.struct(s.alias("s")))  # {"s":...}
+    return F.when(s.isNotNull(), F.substring(whole, F.lit(6), F.length(whole) - 6))

@@ -14,6 +14,8 @@ BLOCK_BYTES, BLOCK_ENTRIES = 64 << 10, 1000
 CHUNK_BYTES = 512 << 20
 #: Bytes of an entry in a block beside key (with its 9-byte version) and value.
 ENTRY_HEADER = 21
+#: The same as a compaction reckons it.
+CHUNK_HEADER = 20
 
 
 def record_bytes() -> Column:
@@ -74,6 +76,12 @@ def block_rows(log: DataFrame, table_id: Column) -> DataFrame:
     return log.select(table_id.alias("table_id"), "k", "seq", size.cast("long").alias("size"))
 
 
+def chunk_rows(log: DataFrame, part: Column) -> DataFrame:
+    """Log records as entries of a compaction's chunks: part, k, seq and size."""
+    size = F.lit(CHUNK_HEADER + 9) + F.octet_length("k") + F.coalesce(F.octet_length("v"), F.lit(0))
+    return log.select(part.alias("part"), "k", "seq", size.cast("long").alias("size"))
+
+
 def shard_size(length: Column, shards: int) -> Column:
     """Bytes of a data shard; the last one ends in a 4-byte length."""
     per = F.floor((length + (shards + 3)) / shards).cast("long")

@@ -12,15 +12,18 @@ def _bit(place: Column) -> Column:
 
 
 def partition_sizes(partitions: DataFrame, members: DataFrame, extents: DataFrame) -> DataFrame:
-    """Extents and bytes by partition: ``partitions`` has part and streams (an
-    array), ``members`` stream_id and extent_id, ``extents`` extent_id and
-    length.  An extent that several streams of a partition hold counts once."""
-    own = partitions.select("part", F.explode("streams").alias("stream_id"))
+    """Extents and bytes by partition: ``partitions`` has part and stream_id, or
+    streams (an array), ``members`` stream_id and extent_id, ``extents``
+    extent_id and length.  An extent that several streams of a partition hold
+    counts once; extents that ``extents`` has not do not count."""
+    if "streams" in partitions.columns:
+        partitions = partitions.select("part", F.explode_outer("streams").alias("stream_id"))
+    own = partitions.select("part", "stream_id")
     held = own.join(members.select("stream_id", "extent_id"), "stream_id").select("part", "extent_id").distinct()
     sums = held.join(extents.select("extent_id", "length"), "extent_id").groupBy("part").agg(
         F.count("*").alias("extents"), F.sum("length").alias("bytes")
     )
-    return partitions.select("part").join(sums, "part", "left").na.fill(0, ["extents", "bytes"])
+    return partitions.select("part").distinct().join(sums, "part", "left").na.fill(0, ["extents", "bytes"])
 
 
 def largest(sizes: DataFrame, n: int, by: str = "bytes", key: str = "part") -> DataFrame:
@@ -111,9 +114,20 @@ def healthy_first(nodes: DataFrame, n: int) -> DataFrame:
     return (healthy if enough else nodes.orderBy("node_id").limit(n)).select("node_id")
 
 
+def stream_info(members: DataFrame, extents: DataFrame) -> DataFrame:
+    """By stream (``members``: stream_id, pos, extent_id): its extents' number
+    and bytes (``extents``: extent_id, length), and its tail."""
+    both = members.join(extents.select("extent_id", "length"), "extent_id", "left")
+    return both.groupBy("stream_id").agg(
+        F.count("*").alias("extents"),
+        F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
+        F.max(F.struct("pos", "extent_id")).extent_id.alias("tail"),
+    )
+
+
 def last_extent(members: DataFrame) -> DataFrame:
     """The tail of each stream."""
-    return members.groupBy("stream_id").agg(F.max_by("extent_id", "pos").alias("extent_id"))
+    return members.groupBy("stream_id").agg(F.max(F.struct("pos", "extent_id")).extent_id.alias("extent_id"))
 
 
 def report(sizes: DataFrame, where: DataFrame) -> DataFrame:

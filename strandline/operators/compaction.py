@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.latest import in_range, newest, visible
@@ -87,9 +87,9 @@ def overlapping(properties: DataFrame, low: str, high: str) -> DataFrame:
     return properties.where(~inside)
 
 
-def skips(n_tables: int, overlap: bool) -> bool:
+def skips(n_tables: Column | int, overlap: Column | bool) -> Column | bool:
     """Whether a major compaction has nothing to do."""
-    return n_tables < 2 and not overlap
+    return (n_tables < 2) & (overlap == False)  # noqa: E712
 
 
 @dataclass(frozen=True)

@@ -153,6 +153,11 @@ def pending_videos(keys: DataFrame, extensions: tuple[str, ...] = ("mp4", "mov",
     return own.where(F.lower(F.substring_index("k", ".", -1)).isin(*extensions)).join(done, "k", "left_anti")
 
 
+def pending(items: DataFrame, done: DataFrame, on: str) -> DataFrame:
+    """The rows of ``items`` whose work is not among ``done`` yet."""
+    return items.join(done.select(on), on, "left_anti")
+
+
 def derived(keys: DataFrame, names: DataFrame) -> DataFrame:
     """The keys (k) that go when the logical ``names`` (name) are deleted: each
     itself, its thumbnails of all sizes, and its playlist and segments."""
@@ -165,6 +170,11 @@ def derived(keys: DataFrame, names: DataFrame) -> DataFrame:
     return keys.withColumn("name", base).join(names.select("name").distinct(), "name", "left_semi").select("k")
 
 
+def directory_sizes(files: DataFrame) -> DataFrame:
+    """Files and bytes by directory (``files``: parent, size)."""
+    return files.groupBy("parent").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
 def with_subdirectories(inodes: DataFrame, made: DataFrame) -> DataFrame:
     """``inodes`` (ino, nlink, ...) after directories (parent, name, ino) were
     made: each adds a link to its parent."""

@@ -9,9 +9,9 @@ from strandline.operators.latest import current, visible
 from strandline.sources.log import NOW, prefix_end
 
 
-def get(log: DataFrame, key: str, now: int = NOW) -> DataFrame:
+def get(log: DataFrame, key: str | bytes, now: int = NOW) -> DataFrame:
     """The live version of one key; no row if there is none."""
-    return current(log.where(F.col("k") == key), now)
+    return current(log.where(F.col("k") == F.lit(key)), now)
 
 
 def get_many(log: DataFrame, keys: DataFrame, now: int = NOW) -> DataFrame:
@@ -36,6 +36,15 @@ def subrange(value: Column, offset: int | Column, length: int | Column) -> Colum
     return F.substring(value, (offset + 1).cast("int"), rest.cast("int"))
 
 
+def pieces(value: Column, piece: int = 4 << 20) -> Column:
+    """The places at which a value is read piece by piece: an array of offset
+    and length, empty for an empty value."""
+    n = F.octet_length(value).cast("long")
+    last = F.floor((n - 1) / piece).cast("long")
+    each = F.when(n > 0, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array().cast("array<long>"))
+    return F.transform(each, lambda i: F.struct((i * piece).alias("offset"), F.least(F.lit(piece).cast("long"), n - i * piece).alias("length")))
+
+
 def head(log: DataFrame, now: int = NOW) -> DataFrame:
     """Key and value length in bytes of every live key; values behind pointers
     (pointer.len, where the log has it) by the pointer."""
@@ -50,26 +59,29 @@ def exists(keys: DataFrame, rows: DataFrame, on: str) -> DataFrame:
     return keys.join(rows.select(on), on, "left_semi")
 
 
-def key_bounds(prefix: str, start: str = "") -> Column:
-    """Keys from ``start`` on that have ``prefix``.
+def key_bounds(prefix: str | bytes, start: str | bytes = "") -> Column:
+    """Keys from ``start`` on that have ``prefix``, both texts or both bytes.
 
     The bounds reach the scan for text and binary keys alike; startswith alone
     would for text only.
     """
-    k = F.col("k")
-    found = k >= max(prefix, start)
+    k, low = F.col("k"), max(prefix or type(start)(), start or type(prefix)())
+    found = k >= F.lit(low) if low else F.lit(True)
+    if not prefix:
+        return found
     end = prefix_end(prefix)
-    return found & (k < end) & k.startswith(prefix) if prefix and end else found & k.startswith(prefix)
+    found = found & F.startswith(k, F.lit(prefix))
+    return found & (k < F.lit(end)) if end else found
 
 
-def range_keys(log: DataFrame, prefix: str = "", start: str = "", limit: int | None = None, now: int = NOW) -> DataFrame:
+def range_keys(log: DataFrame, prefix: str | bytes = "", start: str | bytes = "", limit: int | None = None, now: int = NOW) -> DataFrame:
     """Live keys in order, without values, from ``start`` and with ``prefix``;
     the first ``limit``."""
     keys = current(log.where(key_bounds(prefix, start)), now).select("k")
     return keys.orderBy("k").limit(limit) if limit is not None else keys
 
 
-def page_after(log: DataFrame, last: str, limit: int, prefix: str = "", now: int = NOW) -> DataFrame:
+def page_after(log: DataFrame, last: str | bytes, limit: int, prefix: str | bytes = "", now: int = NOW) -> DataFrame:
     """The next page: live keys after ``last``."""
     keys = current(log.where(key_bounds(prefix) & (F.col("k") > last)), now).select("k")
     return keys.orderBy("k").limit(limit)

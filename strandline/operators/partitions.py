@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.operators.latest import in_range
+from strandline.operators.latest import current, in_range
+from strandline.sources.log import NOW
+from strandline.sources.shared import Scratch
 
-#: Up to so many ranges, routing compares a key with all bounds at once.
-FEW_RANGES = 4096
+#: Up to so many range starts are constants of a plan, in blocks of so many.
+FEW_RANGES, BLOCK = 4096, 64
 
 
 def presplit(spark: SparkSession, n: int) -> DataFrame:
@@ -33,19 +35,39 @@ def route(rows: DataFrame, lows: Iterable[str], key: str = "k") -> Column:
     low ends; -1 before the first.
 
     A driver-side list of range starts is a constant of the plan, so a key
-    needs neither a join nor a shuffle.
+    needs neither a join nor a shuffle.  It is compared with the first start of
+    each block, and with the starts of its block.
     """
     lows = list(lows)
     if lows != sorted(lows) or len(lows) > FEW_RANGES:
         raise ValueError(f"at most {FEW_RANGES} sorted range starts")
-    starts = F.array(*[F.lit(x) for x in lows])
-    return F.size(F.filter(starts, lambda s: s <= F.col(key))) - 1
+    below = lambda starts: F.size(F.filter(starts, lambda s: s <= F.col(key)))
+    all_ = F.array(*[F.lit(x) for x in lows])
+    if len(lows) <= BLOCK:
+        return below(all_) - 1
+    first = F.greatest(below(F.array(*[F.lit(x) for x in lows[::BLOCK]])) - 1, F.lit(0)) * BLOCK
+    return first + below(F.slice(all_, first + 1, F.lit(BLOCK))) - 1
 
 
-def route_join(rows: DataFrame, ranges: DataFrame, key: str = "k") -> DataFrame:
+def route_join(rows: DataFrame, ranges: DataFrame, key: str = "k", few: int = FEW_RANGES) -> DataFrame:
     """``rows`` with the part of ``ranges`` (part, low, high) that holds them,
-    for tables of ranges; Spark sends the ranges to all tasks if few."""
-    return rows.join(ranges, in_range(F.col(key), F.col("low"), F.col("high")))
+    for tables of ranges of any number.
+
+    Up to ``few`` starts, evenly spread over the ranges, cut the keys into
+    buckets; a range is in each bucket that it touches.  Rows and ranges meet by
+    bucket, so that no row is compared with all ranges.
+    """
+    n = ranges.count()
+    every = max(1, -(-n // max(1, few)))
+    place = F.row_number().over(W.orderBy("low")) - 1  # of ranges: metadata, one row a partition of a store
+    starts = ranges.select("low").distinct().withColumn("_i", place).where(F.col("_i") % every == 0)
+    lows = sorted(r["low"] for r in starts.collect()) or [""]
+    last = F.when(F.col("high") == "", len(lows) - 1).otherwise(route(ranges, lows, "high"))
+    touched = F.sequence(F.greatest(route(ranges, lows, "low"), F.lit(-1)), F.greatest(last, route(ranges, lows, "low")))
+    held = ranges.withColumn("_bucket", F.explode(touched))
+    here = rows.withColumn("_at", route(rows, lows, key))
+    same = (F.col("_at") == F.col("_bucket")) & in_range(F.col(key), F.col("low"), F.col("high"))
+    return here.join(held, same).drop("_at", "_bucket")
 
 
 def route_key(lows: list[str], key: str) -> int:
@@ -56,29 +78,26 @@ def route_key(lows: list[str], key: str) -> int:
 def key_at_rank(keys: DataFrame, rank: int, few: int = 4096) -> str | None:
     """The key of this rank, from 0, among distinct ``keys`` (k) in order.
 
-    Counts by prefix narrow the range one character at a time, so no task
-    sorts all keys; the last few are sorted where they are.
+    The keys are resolved once and dealt to ranges; counts tell the range that
+    has the rank, which is dealt out anew until ``few`` are left.  Each time a
+    thousandth of the keys or so is left, so that no task sorts them all.
     """
-    prefix, left = "", rank
+    scratch, left = Scratch(keys.sparkSession), rank
+    n = keys.count()
     while True:
-        under = keys.where(F.col("k").startswith(prefix)) if prefix else keys
-        n = under.count()
-        if left >= n:
-            return None
-        if n <= few:
-            rows = under.orderBy("k").limit(left + 1).collect()
-            return rows[left]["k"]
-        # one row a distinct next character; a key that ends here comes first
-        step = len(prefix) + 1
-        for r in under.groupBy(F.substring("k", 1, step).alias("p")).count().orderBy("p").collect():
-            if left < r["count"]:
-                if r["p"] == prefix:
-                    return prefix
-                prefix = r["p"]
+        ranges = min(1024, max(1, -(-n // few)))
+        dealt = scratch.keep(keys.select("k").repartitionByRange(ranges, "k").withColumn("part", F.spark_partition_id()))
+        counts = {r["part"]: r["count"] for r in dealt.groupBy("part").count().collect()}  # at most 1,024 rows
+        for part in sorted(counts):
+            if left < counts[part]:
                 break
-            left -= r["count"]
+            left -= counts[part]
         else:
             return None
+        keys = dealt.where(F.col("part") == part)
+        n, before = counts[part], n
+        if n <= few or n == before:
+            return keys.orderBy("k").limit(left + 1).tail(1)[0]["k"]
 
 
 def split_key(live_keys: DataFrame) -> str | None:
@@ -87,6 +106,13 @@ def split_key(live_keys: DataFrame) -> str | None:
     return key_at_rank(live_keys, n // 2) if n >= 2 else None
 
 
+def live_keys(log: DataFrame, lows: Iterable[str], now: int = NOW) -> DataFrame:
+    """Distinct live keys by partition, partitions given by their sorted low
+    ends."""
+    live = current(log, now)
+    return live.groupBy(route(live, lows).alias("part")).agg(F.count("*").alias("keys"))
+
+
 def split(partitions: DataFrame, part: int, mid: str, new_part: int) -> DataFrame:
     """The table of ranges (part, low, high) after a split: the left half keeps
     its id, the right one gets ``new_part``."""

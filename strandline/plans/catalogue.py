@@ -6,19 +6,15 @@ only the rows are checked, and a test stands in.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import aggregates, scalar
 from strandline.operators import blocks, cluster, compaction, files, gc, latest, lookup, partitions
+from strandline.plans.registry import oracle_sql, queries, query
 from strandline.sources import log as logs
 from strandline.sources.log import NOW, events_log, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+__all__ = ["oracle_sql", "queries", "query"]
 
 LOG = """log AS (
   SELECT printf('u%06d', user_id) AS k, event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS op,
@@ -42,24 +38,6 @@ DOC_KEYS, DOC_EXTENT = 97, 64
 CHUNK = 1024
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 # lookups
 
 
@@ -150,10 +128,7 @@ def expired_current(spark, d):
 
 @query("version_rank", f"WITH {LOG} SELECT k, seq, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rank FROM log")
 def version_rank(spark, d):
-    from pyspark.sql import Window as W
-
-    rank = F.row_number().over(W.partitionBy("k").orderBy(F.desc("seq"))).cast("long")
-    return events_log(spark, d).select("k", "seq", rank.alias("rank"))
+    return latest.ranked(events_log(spark, d)).select("k", "seq", "rank")
 
 
 @query(
@@ -187,14 +162,13 @@ def prefix_delete_count(spark, d):
 
 @query(
     "recovered_log",
-    f"WITH {LOG}, flushed AS (SELECT * FROM log WHERE seq <= (SELECT max(seq) FROM log) - 100) "
-    "SELECT count(*) AS records, max(seq) AS last_seq FROM log",
+    f"WITH {LOG} SELECT k, seq, op, v, exp FROM log",
 )
 def recovered_log(spark, d):
+    """The log holds all records; those flushed to tables must not come twice."""
     log = events_log(spark, d)
     last = log.agg(F.max("seq")).first()[0] or 0
-    both = logs.recovered(log.where(F.col("seq") <= last - 100), log)
-    return both.agg(F.count("*").alias("records"), F.max("seq").alias("last_seq"))
+    return logs.recovered(log.where(F.col("seq") <= last - 100), log)
 
 
 @query(
@@ -224,11 +198,14 @@ def compact_major(spark, d):
 @query(
     "compact_minor",
     f"""WITH {LOG} SELECT k, seq, op FROM (
-  SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rank FROM log WHERE seq <= 5000) WHERE rank = 1""",
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rank FROM log
+  WHERE seq // 1000 < (SELECT max(seq) // 1000 FROM log)) WHERE rank = 1""",
 )
 def compact_minor(spark, d):
-    older = events_log(spark, d).where(F.col("seq") <= 5000)
-    return compaction.minor(older).select("k", "seq", "op")
+    """All tables but the newest are compacted."""
+    log = events_log(spark, d).withColumn("table_id", F.expr("seq div 1000"))
+    newest = log.agg(F.max("table_id")).first()[0]
+    return compaction.minor(log.where(F.col("table_id") < F.lit(newest))).select("k", "seq", "op")
 
 
 @query(
@@ -301,25 +278,53 @@ def gc_candidates(spark, d):
     return found.select("extent_id", "discarded", F.round("ratio", 9).alias("ratio"))
 
 
-@query("gc_pending", f"WITH {DOC_LOG} SELECT extent_id, discarded FROM dropped WHERE extent_id % 2 = 0")
+@query("gc_pending", f"WITH {DOC_LOG}, {EXTENTS} SELECT extent_id, discarded FROM dropped WHERE extent_id IN (SELECT extent_id FROM extents)")
 def gc_pending(spark, d):
-    members = doc_extents(spark, d).select("extent_id").union(
-        table(spark, d, "documents").select(F.floor(F.col("doc_id") / DOC_EXTENT).cast("long"))
-    )
-    return gc.pending(compaction.discards(doc_log(spark, d)), members.where(F.col("extent_id") % 2 == 0))
+    """The stream's members are the sealed extents."""
+    return gc.pending(compaction.discards(doc_log(spark, d)), doc_extents(spark, d))
+
+
+def newest_discarded(spark, d):
+    """The newest extent with discards; -1 without any."""
+    top = compaction.discards(doc_log(spark, d)).agg(F.max("extent_id")).first()[0]
+    return -1 if top is None else top
+
+
+NEWEST_DISCARDED = "(SELECT max(extent_id) FROM dropped)"
+LIVE_DOCS = f"""{DOC_LOG}, live AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rank FROM docs) WHERE rank = 1 AND size > 4096)"""
 
 
 @query(
     "gc_live_records",
-    f"""WITH {DOC_LOG} SELECT extent_id, count(*) AS live, CAST(sum(size) AS BIGINT) AS bytes FROM (
-  SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rank FROM docs) WHERE rank = 1 AND size > 4096
-GROUP BY 1""",
+    f"WITH {LIVE_DOCS} SELECT CAST(k AS VARCHAR) AS k, seq, extent_id, size AS len FROM live WHERE extent_id = {NEWEST_DISCARDED}",
 )
 def gc_live_records(spark, d):
-    live = latest.current(doc_log(spark, d)).where("pointer is not null")
-    return live.groupBy(F.col("pointer.extent_id").alias("extent_id")).agg(
-        F.count("*").alias("live"), F.sum("pointer.len").alias("bytes")
-    )
+    live = gc.still_live(doc_log(spark, d), newest_discarded(spark, d))
+    return live.select("k", "seq", "pointer.extent_id", "pointer.len")
+
+
+@query(
+    "gc_rewritten",
+    f"""WITH {LIVE_DOCS} SELECT CAST(k AS VARCHAR) AS k, (SELECT max(seq) FROM docs) + 1 AS seq, 1 AS op, md5(text) AS v, true AS rewritten
+FROM live JOIN documents ON doc_id = seq WHERE extent_id = {NEWEST_DISCARDED}""",
+)
+def gc_rewritten(spark, d):
+    log = doc_log(spark, d)
+    last = log.agg(F.max("seq")).first()[0] or 0
+    again = gc.rewrite(log, newest_discarded(spark, d), last + 1)
+    return again.select("k", "seq", "op", F.md5(F.col("v").cast("binary")).alias("v"), "rewritten")
+
+
+@query(
+    "gc_forced",
+    f"""WITH {DOC_LOG}, {EXTENTS} SELECT -extent_id AS pos, extent_id FROM (SELECT DISTINCT extent_id FROM docs)
+WHERE extent_id IN (SELECT extent_id FROM extents) ORDER BY pos LIMIT 3""",
+)
+def gc_forced(spark, d):
+    """All extents are requested, the newest first; the tail is not sealed."""
+    asked = doc_log(spark, d).select(F.floor(F.col("seq") / DOC_EXTENT).cast("long").alias("extent_id")).distinct()
+    return gc.forced(asked.withColumn("pos", -F.col("extent_id")), doc_extents(spark, d)).select("pos", "extent_id")
 
 
 def event_tables(spark, d):
@@ -438,21 +443,26 @@ def refs_after_split(spark, d):
 
 @query(
     "refs_diff",
-    f"""WITH {LOG}, a AS (SELECT k, count(*) AS n FROM log WHERE seq <= 3000 GROUP BY 1),
-b AS (SELECT k, count(*) AS n FROM log WHERE seq > 1000 AND seq <= 4500 GROUP BY 1)
+    f"""WITH {LOG}, m AS (SELECT max(seq) AS last FROM log),
+a AS (SELECT k, count(*) AS n FROM log, m WHERE seq <= last * 2 // 3 GROUP BY 1),
+b AS (SELECT k, count(*) AS n FROM log, m WHERE seq > last // 3 GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS extent_id, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta
 FROM a FULL OUTER JOIN b ON a.k = b.k WHERE coalesce(b.n, 0) <> coalesce(a.n, 0)""",
 )
 def refs_diff(spark, d):
+    """Snapshots of the first and of the last two thirds of the log."""
     log = events_log(spark, d).select(F.col("k").alias("extent_id"), "seq")
-    n = lambda low, high: log.where((F.col("seq") > low) & (F.col("seq") <= high)).groupBy("extent_id").agg(F.count("*").alias("refs"))
-    return partitions.refs_diff(n(0, 3000), n(1000, 4500))
+    last = log.agg(F.max("seq")).first()[0] or 0
+    n = lambda rows: rows.groupBy("extent_id").agg(F.count("*").alias("refs"))
+    return partitions.refs_diff(n(log.where(F.col("seq") <= last * 2 // 3)), n(log.where(F.col("seq") > last // 3)))
 
 
-@query("stream_tails", """SELECT l_orderkey AS stream_id, max(l_linenumber) AS pos FROM lineitem GROUP BY 1""")
+@query(
+    "stream_tails",
+    "SELECT l_orderkey AS stream_id, max({'p': l_linenumber, 'e': l_partkey}).e AS extent_id FROM lineitem GROUP BY 1",
+)
 def stream_tails(spark, d):
-    m = line_members(spark, d).select("stream_id", "pos", F.col("pos").alias("extent_id"))
-    return cluster.last_extent(m).withColumnRenamed("extent_id", "pos")
+    return cluster.last_extent(line_members(spark, d))
 
 
 @query(
@@ -473,7 +483,24 @@ def least_loaded(spark, d):
     return partitions.least_loaded(server_load(spark, d))
 
 
-@query("rebalance")
+@query(
+    "rebalance",
+    """WITH RECURSIVE alive AS (
+  SELECT list(n_nationkey ORDER BY n_nationkey) AS ids, list(n ORDER BY n_nationkey) AS loads FROM (
+    SELECT n_nationkey, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey
+    WHERE n_nationkey % 3 <> 0 GROUP BY 1)
+), lost AS (
+  SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier WHERE s_nationkey % 3 = 0
+), step AS (
+  SELECT CAST(0 AS BIGINT) AS i, loads, 0 AS place FROM alive
+  UNION ALL
+  SELECT i + 1, list_transform(loads, lambda x, j: x + CASE WHEN j = list_position(loads, list_min(loads)) THEN 1 ELSE 0 END),
+         list_position(loads, list_min(loads))
+  FROM step WHERE i < (SELECT count(*) FROM lost)
+)
+SELECT s_suppkey AS part, ids[place] AS ps_id FROM step JOIN lost USING (i), alive
+UNION ALL SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey % 3 <> 0""",
+)
 def rebalance(spark, d):
     """Suppliers as partitions, nations as servers, one in three gone.  Cluster
     metadata, as many rows as there are partitions of a store."""
@@ -634,7 +661,7 @@ def pending_videos(spark, d):
 
 @query("pending_work", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def pending_work(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_anti")
+    return files.pending(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
 RANGE_HEADERS = [
@@ -658,12 +685,13 @@ def byte_range_parse(spark, d):
 
 @query(
     "human_sizes",
-    """SELECT o_orderkey, CASE WHEN b >= 1048576 THEN printf('%.1f MB', b / 1048576.0) WHEN b >= 1024 THEN printf('%.1f KB', b / 1024.0)
-  ELSE printf('%d B', b) END AS size FROM (SELECT o_orderkey, CAST(o_orderkey * o_orderkey AS BIGINT) AS b FROM orders) WHERE b < 1073741824""",
+    """SELECT o_orderkey, CASE WHEN b >= 1073741824 THEN printf('%.1f GB', b / 1073741824.0)
+  WHEN b >= 1048576 THEN printf('%.1f MB', b / 1048576.0) WHEN b >= 1024 THEN printf('%.1f KB', b / 1024.0)
+  ELSE printf('%d B', b) END AS size FROM (SELECT o_orderkey, CAST(o_orderkey * o_orderkey * o_orderkey AS BIGINT) AS b FROM orders)""",
 )
 def human_sizes(spark, d):
-    b = F.col("o_orderkey") * F.col("o_orderkey")
-    return table(spark, d, "orders").where(b < 1 << 30).select("o_orderkey", scalar.human_size(b).alias("size"))
+    b = F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", scalar.human_size(b).alias("size"))
 
 
 @query(
@@ -681,13 +709,25 @@ def long_keys(spark, d):
     return c.select("conv_id", "turn", F.lower(F.hex(key)).alias("key"), scalar.long_from_key(key, 1).alias("back"))
 
 
-@query("bloom_no_false_negatives", f"WITH {LOG} SELECT count(DISTINCT k) AS keys, CAST(0 AS BIGINT) AS missed FROM log")
+@query(
+    "bloom_no_false_negatives",
+    f"""WITH {LOG}, asked AS (SELECT DISTINCT k, true AS has FROM log UNION ALL SELECT printf('other%d', o_orderkey), false FROM orders)
+SELECT has, count(*) AS asked, CAST(0 AS BIGINT) AS wrong_absent, true AS few_wrong_present FROM asked GROUP BY 1""",
+)
 def bloom_no_false_negatives(spark, d):
+    """A filter for a hundredth of false answers, asked for the keys it was
+    made of and for as many others as there are orders; it may give thrice that."""
     keys = events_log(spark, d).select("k").distinct()
-    bits, hashes = scalar.bloom_shape(512, 0.01)
+    bits, hashes = scalar.bloom_shape(keys.count(), 0.01)
     filter_ = scalar.bloom_built(keys, bits, hashes)  # one row of at most ``bits`` places
-    tested = keys.join(F.broadcast(filter_)).withColumn("hit", scalar.may_contain(F.col("k"), F.col("places"), bits, hashes))
-    return tested.agg(F.count("*").alias("keys"), F.count_if(~F.col("hit")).alias("missed"))
+    others = table(spark, d, "orders").select(F.format_string("other%d", "o_orderkey").alias("k"), F.lit(False).alias("has"))
+    asked = keys.withColumn("has", F.lit(True)).union(others)
+    tested = asked.join(F.broadcast(filter_)).withColumn("hit", scalar.may_contain(F.col("k"), F.col("places"), bits, hashes))
+    return tested.groupBy("has").agg(
+        F.count("*").alias("asked"),
+        F.count_if(F.col("has") & ~F.col("hit")).alias("wrong_absent"),
+        (F.count_if(~F.col("has") & F.col("hit")) <= 0.03 * F.count("*")).alias("few_wrong_present"),
+    )
 
 
 # figures
@@ -716,6 +756,17 @@ def ema(spark, d):
     return rows.select("user_id", F.round("ema", 6).alias("ema"))
 
 
+@query(
+    "ema_slow",
+    """SELECT region, round(list_reduce(list(value ORDER BY event_id), lambda s, x: s * 0.999::DOUBLE + x * 0.001::DOUBLE), 6) AS ema
+FROM (SELECT user_id % 2 AS region, value, event_id FROM events WHERE value > 0) GROUP BY 1""",
+)
+def ema_slow(spark, d):
+    """A small alpha, where thousands of values count."""
+    rows = table(spark, d, "events").withColumn("region", F.col("user_id") % 2)
+    return aggregates.ema(rows, "region", "event_id", "value", 0.001).select("region", F.round("ema", 6).alias("ema"))
+
+
 @query(
     "throughput",
     """SELECT event_type, count(*) AS ops, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes, round(count(*) / 3600.0, 6) AS ops_per_second,
@@ -776,7 +827,7 @@ def live_size_top_n(spark, d):
   SELECT DISTINCT o_custkey, l_partkey FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey) LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1""",
 )
 def partition_sizes(spark, d):
-    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("part")).agg(F.collect_set("o_orderkey").alias("streams"))
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("part"), F.col("o_orderkey").alias("stream_id"))
     extents = table(spark, d, "part").select(F.col("p_partkey").alias("extent_id"), F.col("p_size").cast("long").alias("length"))
     return cluster.partition_sizes(orders, line_members(spark, d), extents)
 

@@ -1,8 +1,8 @@
 """Mutation logs: their shape, builders on the standard tables, and storage.
 
-Columns of a log: k (key, text), seq (long, unique per key), op (PUT or
-DELETE), v (text; null or empty for a delete), exp (expiry in unix seconds, 0
-for never).
+Columns of a log: k (key, text or binary), seq (long, unique per key), op (PUT
+or DELETE), v (as k; null or empty for a delete), exp (expiry in unix seconds,
+0 for never).
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def expiry(now: Column | int, ttl: Column | int) -> Column:
     """When a record put at ``now`` with ``ttl`` seconds expires; 0 is never."""
-    now, ttl = (x if isinstance(x, Column) else F.lit(x) for x in (now, ttl))
-    return F.when(ttl > 0, now + ttl).otherwise(F.lit(0)).cast("long")
+    now, ttl = ((x if isinstance(x, Column) else F.lit(x)).cast("long") for x in (now, ttl))
+    return F.when(ttl > 0, now + ttl).otherwise(F.lit(0).cast("long"))
 
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,8 @@ def puts(rows: DataFrame, seq: int, now: int, ttl: int = 0) -> DataFrame:
 def deletes(keys: DataFrame, seq: int) -> DataFrame:
     """Delete records for ``keys`` (k), known or not, with one number."""
     return keys.select("k").distinct().select(
-        "k", F.lit(seq).cast("long").alias("seq"), F.lit(DELETE).alias("op"), F.lit("").alias("v"), F.lit(0).cast("long").alias("exp")
+        "k", F.lit(seq).cast("long").alias("seq"), F.lit(DELETE).alias("op"), F.lit("").cast(keys.schema["k"].dataType).alias("v"),
+        F.lit(0).cast("long").alias("exp"),
     )
 
 
@@ -78,9 +79,12 @@ def write_sorted(log: DataFrame, path: str, partitions: int | None = None) -> No
     )
 
 
-def prefix_end(prefix: str) -> str | None:
+def prefix_end(prefix: str | bytes) -> str | bytes | None:
     """The least string above every string with ``prefix``; None if there is
     none."""
+    if isinstance(prefix, bytes):
+        left = prefix.rstrip(b"\xff")
+        return left[:-1] + bytes([left[-1] + 1]) if left else None
     points = list(prefix)
     while points:
         last = ord(points.pop())

@@ -11,7 +11,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _HEADER = struct.Struct("<BIIQ")
@@ -34,8 +34,21 @@ def decode_records(data: bytes) -> Iterator[tuple[int, int, bytes, bytes, int]]:
         at = body + k + v
 
 
-def read_record_files(spark: SparkSession, path: str) -> DataFrame:
-    """The records of log files, one row each, with their offsets."""
+def _little_endian(n: Column, size: int) -> Column:
+    digits = F.lpad(F.hex(n), 2 * size, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))]))
+
+
+def encoded(log: DataFrame) -> Column:
+    """The byte form of a log's rows; a null value is empty."""
+    key, value = F.col("k").cast("binary"), F.coalesce(F.col("v").cast("binary"), F.lit(b""))
+    sizes = [_little_endian(F.octet_length(x).cast("long"), 4) for x in (key, value)]
+    return F.concat(_little_endian(F.col("op").cast("long"), 1), *sizes, _little_endian(F.col("exp"), 8), key, value)
+
+
+def decoded(data: DataFrame) -> DataFrame:
+    """The records of byte strings (path, content), one row each, with their
+    offsets; a path may be any name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,7 +62,12 @@ def read_record_files(spark: SparkSession, path: str) -> DataFrame:
                         [pa.array(c, t) for c, t in zip(columns, kinds)], names=[c.split()[0] for c in _SCHEMA.split(", ")]
                     )
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _SCHEMA)
+    return data.select("path", "content").mapInArrow(run, _SCHEMA)
+
+
+def read_record_files(spark: SparkSession, path: str) -> DataFrame:
+    """The records of log files, one row each, with their offsets."""
+    return decoded(spark.read.format("binaryFile").load(path))
 
 
 def read_bench_reports(spark: SparkSession, path: str) -> DataFrame:

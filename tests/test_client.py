@@ -1,4 +1,5 @@
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,43 @@ def test_client(spark, tmp_path):
     assert {r.k: r.found for r in found.collect()} == {"b": True, "x": False}
 
 
+def test_bytes(spark, tmp_path):
+    kv = Client(spark, str(tmp_path / "log"), binary=True)
+    image = bytes(range(256)) * 3
+    kv.put(b"a\xff\x00", image)
+    kv.put(b"a\xff\xff", "é".encode())
+    kv.put(b"b", b"", ttl_secs=1000)
+    kv.put_many(spark.createDataFrame([(bytearray(b"c\x00"), bytearray(b"\xfe"))], "k binary, v binary"))
+    assert kv.get(b"a\xff\x00") == image and kv.get_range(b"a\xff\x00", 250, 12) == image[250:262]
+    assert kv.head(b"a\xff\xff") == (True, 2) and kv.get(b"b") == b""
+    assert kv.range(b"a\xff") == ([b"a\xff\x00", b"a\xff\xff"], False) and kv.range(start=b"b")[0] == [b"b", b"c\x00"]
+    kv.delete(b"b")
+    assert kv.batch_delete(b"a\xff\xff") == 1
+    after = kv.compact(str(tmp_path / "sorted"))
+    assert after.range()[0] == [b"a\xff\x00", b"c\x00"] == kv.range()[0] and after.get(b"c\x00") == b"\xfe"
+    with pytest.raises(NotFound):
+        after.get(b"b")
+
+
+def test_several_writers(spark, tmp_path, monkeypatch):
+    """No two writes have one number, and the last one wins, whatever the clocks say."""
+    path = str(tmp_path / "log")
+    writers = [Client(spark, path) for _ in range(3)]
+    with ThreadPoolExecutor(3) as pool:
+        numbers = [n for got in pool.map(lambda w: [w._seq() for _ in range(20)], writers) for n in got]
+    assert len(set(numbers)) == 60
+    monkeypatch.setattr("strandline.api.KEPT_CLAIMS", 5)
+    for i, w in enumerate(writers * 4):
+        monkeypatch.setattr(time, "time", lambda at=10**9 - i: at)
+        w.put("k", f"v{i}")
+    monkeypatch.undo()
+    assert writers[0].get("k") == "v11"
+    assert max(r.seq for r in writers[1].log().collect()) == writers[2]._seq() - 1
+    again = writers[0].compact(str(tmp_path / "sorted"))
+    again.put("k", "later")
+    assert Client(spark, again.path).get("k") == "later"
+
+
 def test_streams_agree_with_batches(spark, tmp_path):
     def feed(rows, name):
         df = spark.createDataFrame(rows, ingest.SCHEMA)

@@ -183,3 +183,31 @@ def test_nearest_ranks_and_ema(spark):
         if v > 0:
             e = v if e is None else e * 0.7 + v * 0.3
     assert aggregates.ema(df, "g", "i", "v").first().ema == pytest.approx(e)
+
+
+def test_ema_of_any_alpha(spark):
+    rng = random.Random(2)
+    values = [rng.random() + 0.1 for _ in range(5000)]
+    df = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)], "g string, i long, v double")
+    for alpha in (0.001, 0.01, 0.3, 0.999, 1.0):
+        e = values[0]
+        for v in values[1:]:
+            e = e * (1 - alpha) + v * alpha
+        assert aggregates.ema(df, "g", "i", "v", alpha).first().ema == pytest.approx(e, rel=1e-12)
+    one_ = aggregates.ema(df.limit(1), "g", "i", "v", 0.25).first().ema
+    assert one_ == pytest.approx(values[0]) and aggregates.ema(df.limit(0), "g", "i", "v").count() == 0
+    for alpha in (0, 1.5):
+        with pytest.raises(ValueError):
+            aggregates.ema(df, "g", "i", "v", alpha)
+
+
+def test_encoded_records(spark):
+    rows = [("a", 1, "v", 0), ("é", 2, None, 7), ("k", 1, "x" * 300, 2**40)]
+    df = spark.createDataFrame(rows, "k string, op int, v string, exp long")
+    got = [bytes(r.b) for r in df.select(records.encoded(df).alias("b")).collect()]
+    assert got == [records.encode_record(op, k.encode(), (v or "").encode(), exp) for k, op, v, exp in rows]
+
+
+def test_json_text_of_any_line(spark):
+    assert one(spark, scalar.json_text(F.lit("a\u2028b\u0085"))) == '"a\u2028b\u0085"'
+    assert one(spark, scalar.json_text(F.lit(None).cast("string"))) is None

@@ -32,7 +32,7 @@ def test_query(spark, db, name):
 
 
 def test_without_sql():
-    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"rebalance"}
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"xxh3_hashes"}
 
 
 def test_entry(spark):

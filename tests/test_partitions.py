@@ -24,6 +24,24 @@ def test_routing_agrees(spark):
         P.route(df, ["b", "a"])
 
 
+def test_routing_by_many_ranges(spark):
+    """Ranges that overlap, leave gaps, are empty or open, by a few buckets."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abc", k=rng.randint(0, 4)))
+    rows = sorted({word() for _ in range(150)})
+    ranges = [(i, *sorted((word(), word()))) for i in range(60)] + [(60, "b", ""), (61, "", ""), (62, "c", "a")]
+    df = spark.createDataFrame([(k,) for k in rows], "k string")
+    table = spark.createDataFrame(ranges, "part int, low string, high string")
+    want = sorted((k, p) for k in rows for p, a, b in ranges if a <= k and (not b or k < b))
+    for few in (1, 3, 7, 4096):
+        assert sorted((r.k, r.part) for r in P.route_join(df, table, few=few).collect()) == want
+    assert P.route_join(df, table.limit(0)).count() == 0
+    plan = P.route_join(df, table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "_at" in plan and "_bucket" in plan
+    lows = sorted({word() for _ in range(500)} | {f"a{i:03d}" for i in range(300)})
+    assert {r.k: r.p for r in df.select("k", P.route(df, lows).alias("p")).collect()} == {k: P.route_key(lows, k) for k in rows}
+
+
 def test_key_at_rank(spark):
     rng = random.Random(3)
     keys = sorted({"".join(rng.choices("abc", k=rng.randint(0, 6))) for _ in range(400)})
