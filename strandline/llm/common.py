@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -14,6 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.sources.shared import Scratch, shared_dir
+
+__all__ = [
+    "ASCII_SPACE", "HOT_KEYS", "Scratch", "WORD", "dealt_out", "joined_evenly", "per_text", "present", "row_of", "shared_dir",
+    "table", "with_texts",
+]
+
 #: The ASCII white space that separates words: space and 0x09 to 0x0D.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: One word, as a Java or Python pattern.
@@ -24,68 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.cache
-def _own_root() -> str:
-    return tempfile.mkdtemp(prefix="strandline-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the shared folder of the cluster.
-
-    ``spark.checkpoint.dir`` names that folder.  Only where it is unset and the
-    whole of Spark is on one machine, as in tests, does a temporary folder take
-    its place; on a cluster no other machine would see that one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
-    root = root or _own_root()
-    return f"{root.rstrip('/')}/strandline-{uuid.uuid4().hex}"
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _delete_written() -> None:
-    """Takes away this process's tables as it ends, while its session lives."""
-    for spark, path in _written:
-        if spark.sparkContext._jsc is None:
-            return
-        _delete(spark, path)
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage.
-
-    A written table survives the loss of any executor.  ``drop`` removes the
-    files of tables that no later step reads; the others go as the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.kept: dict[int, tuple[DataFrame, str]] = {}
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        path = shared_dir(self.spark)
-        df.write.parquet(path)
-        _written.append((self.spark, path))
-        kept = self.spark.read.schema(df.schema).parquet(path)
-        self.kept[id(kept)] = kept, path
-        return kept
-
-    def drop(self, *tables: DataFrame) -> None:
-        for df in tables:
-            _, path = self.kept.pop(id(df), (None, None))
-            if path:
-                _delete(self.spark, path)
-
-
 def per_text(
     df: DataFrame,
     columns: list[str | Column],

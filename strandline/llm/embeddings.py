@@ -3,19 +3,25 @@
 Unit vectors whose cosine is at least c lie within eps = sqrt(2 - 2c) of each
 other, and so do their projections on any orthonormal directions.  Vectors are
 sorted by the cells, eps wide, of their leading principal coordinates (Böhm and
-others, "Epsilon Grid Order").  The sorted sequence is cut into intervals, the
-blocks; two blocks are joined only if their bounding boxes come within eps, and
-then by halving both until the halves are provably distant or small enough to
-multiply.
+others, "Epsilon Grid Order").  The sorted sequence is cut into intervals, those
+into shorter ones, and so on down to blocks; pairs of intervals are joined from
+the longest down, and a pair goes on only if the bounding boxes of its two come
+within eps.  Pairs of blocks that are left meet in a task, which halves both
+until the halves are provably distant or small enough to multiply.
 
 Equal vectors with one label are one node from the start.  A joined pair of
 blocks gives a count of links per node and links that keep its components,
 never all pairs.  The directions come from at most ``FIT_ROWS`` vectors; they
 decide how much is skipped, not what is found.
+
+A block is sent once for each block it meets, so its size decides how many
+bytes are moved for a product: all pairs of n near vectors move n / BLOCK times
+their bytes.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -25,12 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch
+from strandline.llm.common import Scratch, joined_evenly
 from strandline.llm.graph import components, local_roots
 
 COSINE = 0.93
 FIT_ROWS, DIMENSIONS = 4096, 8
-BLOCK, LEAF = 512, 64
+#: Vectors of a block at most, and numbers; vectors of an interval that is multiplied.
+BLOCK, BLOCK_NUMBERS, LEAF = 4096, 1 << 21, 64
+#: Intervals that the next longer one is made of, as bits; and links held at once.
+FAN, HELD_LINKS = 6, 1 << 20
 #: Rounding of projections and boxes stays far below this.
 SLACK = 1e-6
 
@@ -67,80 +76,92 @@ def _fixed(basis: np.ndarray | None, dim: int, most: int) -> np.ndarray:
     return basis if basis is not None else np.eye(dim)[:, : min(most, dim)]
 
 
+def _matrices(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors, their places and the vectors as a matrix."""
+    start = vectors.offsets.to_numpy()
+    flat, sizes, start = vectors.flatten().to_numpy(), np.diff(start), start[:-1] - start[0]
+    for dim in np.unique(sizes):
+        rows = np.flatnonzero(sizes == dim)
+        yield rows, flat[start[rows][:, None] + np.arange(dim)].astype(np.float64)
+
+
 def _sorted_blocks(nodes: DataFrame, eps: float, bases: dict, dims: int, block: int, number: str) -> DataFrame:
     """Blocks of up to ``block`` nodes of one label and length, in grid order;
-    ``number`` is the numpy type in which vectors are packed."""
+    ``number`` is the numpy type in which vectors are packed.  A block's number
+    is its partition's, 32 bits up, and its place there, so that numbers follow
+    the order."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = []
-            for v in batch.column(batch.schema.get_field_index("vector")).to_pylist():
-                x = _unit(np.array([v], np.float64))
-                cells.append(np.floor(x @ _fixed(bases.get(len(v)), len(v), dims) / eps).astype(np.int32)[0].tolist())
+            cells = [None] * batch.num_rows
+            for rows, x in _matrices(batch.column("vector")):
+                at = np.floor(_unit(x) @ _fixed(bases.get(x.shape[1]), x.shape[1], dims) / eps).astype(np.int32)
+                for row, cell in zip(rows.tolist(), at.tolist()):
+                    cells[row] = cell
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"]
             )
 
-    placed = nodes.withColumn("dim", F.size("vector")).mapInArrow(
-        project, "node long, label long, copies long, vector array<double>, dim int, cells array<int>"
+    kind = nodes.schema["vector"].dataType.simpleString()
+    placed = nodes.select("node", "label", "copies", "vector", F.size("vector").alias("dim")).mapInArrow(
+        project, f"node long, label long, copies long, vector {kind}, dim int, cells array<int>"
     )
-    parts = max(1, math.ceil(nodes.count() / (16 * block)))
+    n = nodes.count()
+    parts = max(1, min(256, -(-n // (2 * block))), -(-n // (64 * block)))
     order = ["label", "dim", "cells", "node"]
     ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        kind, held, made = None, [], 0
+        numbers = itertools.count(TaskContext.get().partitionId() << 32)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary())
+        names = [c.split()[0] for c in _BLOCKS.split(", ")]
+        label, held, size = None, [], 0  # of one label and length
 
-        def out():
-            nonlocal made
-            x = np.array([h[2] for h in held], np.float64)
+        def out() -> pa.RecordBatch:
+            x = np.concatenate([h[2] for h in held])
             p = _unit(x) @ _fixed(bases.get(x.shape[1]), x.shape[1], dims)
-            row = (
-                first + made,
-                *kind,
-                p.min(axis=0).tolist(),
-                p.max(axis=0).tolist(),
-                np.array([h[0] for h in held], "<i8").tobytes(),
-                np.array([h[1] for h in held], "<i8").tobytes(),
-                x.astype(number).tobytes(),
-            )
-            made += 1
-            held.clear()
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary())
-            names = [c.split()[0] for c in _BLOCKS.split(", ")]
+            nodes, copies = (np.concatenate([h[i] for h in held]).astype("<i8").tobytes() for i in (0, 1))
+            row = (next(numbers), label, x.shape[1], p.min(axis=0).tolist(), p.max(axis=0).tolist(), nodes, copies, x.astype(number).tobytes())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if held and (kind != (r["label"], r["dim"]) or len(held) == block):
-                    yield out()
-                kind = (r["label"], r["dim"])
-                held.append((r["node"], r["copies"], r["vector"]))
+            labels, node, copies = (batch.column(c).to_numpy() for c in ("label", "node", "copies"))
+            for rows, x in _matrices(batch.column("vector")):  # lengths of a label come in order
+                most = max(1, min(block, BLOCK_NUMBERS // x.shape[1]))
+                cuts = np.flatnonzero(labels[rows][1:] != labels[rows][:-1]) + 1
+                for run in np.split(np.arange(len(rows)), cuts):
+                    while len(run):
+                        if held and (label != labels[rows[run[0]]] or held[0][2].shape[1] != x.shape[1] or size >= most):
+                            yield out()
+                            held, size = [], 0
+                        label, part = labels[rows[run[0]]], run[: most - size]
+                        held.append((node[rows[part]], copies[rows[part]], x[part]))
+                        size, run = size + len(part), run[len(part) :]
         if held:
             yield out()
 
     return ordered.mapInArrow(pack, _BLOCKS)
 
 
-def _near_blocks(blocks: DataFrame, eps: float) -> DataFrame:
-    """Pairs (a, b), a <= b, of blocks whose boxes come within eps.
+def _near_blocks(blocks: DataFrame, eps: float, dims: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b), a < b, of blocks whose boxes come within eps.
 
-    Blocks meet by the cells, eps wide, that their boxes cover in the first two
-    coordinates; one side covers its neighbours as well.  Of all cells in which
-    a pair meets, the first one counts.
+    The intervals of a level are the blocks, then partitions, then runs of
+    2**FAN of the level below, until at most that many are left.  Pairs of the
+    longest intervals of a label come first; each goes on to pairs of its two
+    intervals' parts.
     """
-    at = lambda c, i: F.floor(F.coalesce(F.get(c, F.lit(i)), F.lit(0.0)) / eps).cast("int")
-    box = blocks.select(
-        "block", "label", "dim", "lo", "hi",
-        *(at(F.col(s), i).alias(f"{s}{i}") for s in ("lo", "hi") for i in (0, 1)),
-    )
-    a = box.select(*(F.col(c).alias("a_" + c) for c in box.columns))
-    a = a.withColumn("x", F.explode(F.sequence("a_lo0", "a_hi0"))).withColumn("y", F.explode(F.sequence("a_lo1", "a_hi1")))
-    b = box.select(*(F.col(c).alias("b_" + c) for c in box.columns))
-    b = b.withColumn("bx", F.explode(F.expr("sequence(b_lo0 - 1, b_hi0 + 1)"))).withColumn(
-        "by", F.explode(F.expr("sequence(b_lo1 - 1, b_hi1 + 1)"))
-    )
+    top, last = 1, (blocks.agg(F.max("block")).first()[0] or 0) >> 32
+    while last >> FAN * top:
+        top += 1
+    at = lambda c, level: F.shiftright(c, 32 + FAN * (level - 1)) if level else F.col(c)
+
+    def intervals(level: int, side: str) -> DataFrame:
+        box = lambda f, c: F.array(*[f(F.get(c, F.lit(i))) for i in range(dims)])
+        own = blocks.groupBy("label", "dim", at("block", level).alias("id"), at("block", min(level + 1, top)).alias("up"))
+        own = own.agg(box(F.min, "lo").alias("lo"), box(F.max, "hi").alias("hi"))
+        return own.select(*(F.col(c).alias(f"{side}_{c}") for c in own.columns))
+
     gap = F.aggregate(
         F.zip_with(
             F.arrays_zip("a_lo", "a_hi"),
@@ -150,15 +171,19 @@ def _near_blocks(blocks: DataFrame, eps: float) -> DataFrame:
         F.lit(0.0),
         lambda s, x: s + x * x,
     )
-    meet = (
-        (F.col("a_label") == F.col("b_label"))
-        & (F.col("a_dim") == F.col("b_dim"))
-        & (F.col("x") == F.col("bx"))
-        & (F.col("y") == F.col("by"))
+    # the boxes of a label's longest intervals, at most 2**FAN
+    kind = (F.col("a_label") == F.col("b_label")) & (F.col("a_dim") == F.col("b_dim"))
+    meet = lambda pairs: pairs.where((F.col("a_id") <= F.col("b_id")) & (gap <= eps * eps)).select(
+        F.col("a_label").alias("label"), F.col("a_dim").alias("dim"), F.col("a_id").alias("a"), F.col("b_id").alias("b")
     )
-    first = (F.col("x") == F.greatest("a_lo0", F.expr("b_lo0 - 1"))) & (F.col("y") == F.greatest("a_lo1", F.expr("b_lo1 - 1")))
-    near = a.join(b, meet & (F.col("a_block") <= F.col("b_block"))).where(first & (gap <= eps * eps))
-    return near.select(F.col("a_block").alias("a"), F.col("b_block").alias("b"))
+    pairs = meet(intervals(top, "a").join(intervals(top, "b"), kind))
+    for level in reversed(range(top)):
+        pairs = scratch.keep(pairs)
+        for s in "ab":
+            own = (F.col("label") == F.col(f"{s}_label")) & (F.col("dim") == F.col(f"{s}_dim")) & (F.col(s) == F.col(f"{s}_up"))
+            pairs = pairs.join(intervals(level, s), own)
+        pairs = meet(pairs)
+    return pairs.where("a < b").select("a", "b")
 
 
 def _joined(xa: np.ndarray, pa_: np.ndarray, xb: np.ndarray, pb: np.ndarray, cosine: float, eps: float, same: bool):
@@ -191,11 +216,11 @@ def _joined(xa: np.ndarray, pa_: np.ndarray, xb: np.ndarray, pb: np.ndarray, cos
             todo += [(a0, a1, b0, m), (a0, a1, m, b1)]
 
 
-def block_links(a: dict, b: dict, basis: np.ndarray, cosine: float, eps: float, number: str = "<f8"):
+def block_links(a: dict, b: dict | None, basis: np.ndarray, cosine: float, eps: float, number: str = "<f8"):
     """(nodes, links of each to others' rows, u, v): the links within the pair
-    of blocks, counted by rows of the table, and links u > v that keep its
-    components."""
-    same = a["block"] == b["block"]
+    of blocks, or within a block if ``b`` is None, counted by rows of the
+    table, and links u > v that keep its components."""
+    same = b is None
     nodes, copies, x = [], [], []
     for side in (a,) if same else (a, b):
         nodes.append(np.frombuffer(side["nodes"], "<i8"))
@@ -207,31 +232,42 @@ def block_links(a: dict, b: dict, basis: np.ndarray, cosine: float, eps: float,
     off = 0 if same else len(nodes[0])
     node, copy = np.concatenate(nodes), np.concatenate(copies)
     count = np.zeros(len(node), np.int64)
-    root = np.arange(len(node))
+    every = np.arange(len(node))
+    root, held, links = every, 0, [[], []]
+
+    def contracted() -> np.ndarray:
+        return local_roots(len(node), np.concatenate([root, *links[0]]), np.concatenate([every, *links[1]]))
+
     for a0, b0, hit in _joined(x[0], p[0], x[1], p[1], cosine, eps, same):
         rows, cols = slice(a0, a0 + hit.shape[0]), slice(off + b0, off + b0 + hit.shape[1])
         count[rows] += hit @ copy[cols]
         count[cols] += hit.T @ copy[rows]
         i, j = np.nonzero(hit)
-        root = local_roots(len(node), np.r_[root, a0 + i], np.r_[np.arange(len(node)), off + b0 + j])
+        links[0].append(a0 + i), links[1].append(off + b0 + j)
+        held += len(i)
+        if held >= HELD_LINKS:
+            root, held, links = contracted(), 0, [[], []]
+    root = contracted()
     linked = count > 0
-    other = root != np.arange(len(node))
+    other = root != every
     u, v = node[other], node[root[other]]
     return node[linked], count[linked], np.maximum(u, v), np.minimum(u, v)
 
 
-def _pair_results(blocks: DataFrame, cosine: float, eps: float, bases: dict, dims: int, number: str) -> DataFrame:
+def _pair_results(blocks: DataFrame, cosine: float, eps: float, bases: dict, dims: int, number: str, scratch: Scratch) -> DataFrame:
     """Rows (u, v, n): links (u, v), and counts n of links of node u."""
-    near = _near_blocks(blocks, eps)
-    side = lambda s: blocks.select(*(F.col(c).alias(f"{s}_{c}") for c in ("block", "dim", "nodes", "copies", "vectors")))
+    columns = ("dim", "nodes", "copies", "vectors")
+    near = scratch.keep(_near_blocks(blocks, eps, dims, scratch))
+    side = lambda s: blocks.select(F.col("block").alias(f"{s}_block"), *(F.col(c).alias(f"{s}_{c}") for c in columns))
     pairs = near.join(side("a"), F.col("a") == F.col("a_block")).join(side("b"), F.col("b") == F.col("b_block"))
+    alone = side("a").drop("a_block")  # where they lie
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns)}
                 a, b = ({k[2:]: v for k, v in r.items() if k.startswith(s)} for s in ("a_", "b_"))
-                node, n, u, v = block_links(a, b, _fixed(bases.get(a["dim"]), a["dim"], dims), cosine, eps, number)
+                node, n, u, v = block_links(a, b or None, _fixed(bases.get(a["dim"]), a["dim"], dims), cosine, eps, number)
                 none = np.full(len(u), -1)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -242,7 +278,16 @@ def _pair_results(blocks: DataFrame, cosine: float, eps: float, bases: dict, dim
                     names=["u", "v", "n"],
                 )
 
-    return pairs.drop("a", "b").mapInArrow(run, "u long, v long, n long")
+    found = "u long, v long, n long"
+    return alone.mapInArrow(run, found).unionByName(pairs.drop("a", "b", "a_block", "b_block").mapInArrow(run, found))
+
+
+def _identity(whole: bool) -> Column:
+    """What stands for a label and a vector: 128 bits of hashes, or with
+    ``whole`` the vector itself."""
+    if whole:
+        return F.struct("label", "vector")
+    return F.struct("label", F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(1), "vector").alias("g"))
 
 
 def linked_vectors(
@@ -268,12 +313,13 @@ def linked_vectors(
     if not 0 < cosine <= 1:
         raise ValueError("the cosine must be over 0 and at most 1")
     scratch = Scratch(df.sparkSession)
-    # single precision is packed as it is, and multiplied in double precision
-    number = "<f4" if df.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
+    # single precision is moved as it is, and multiplied in double precision
+    kind, number = ("float", "<f4") if df.schema[vector].dataType.simpleString() == "array<float>" else ("double", "<f8")
     eps = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
-    x = F.transform(F.col(vector), lambda c: c.cast("double"))
+    zero = F.lit(0.0).cast(kind)
+    x = F.transform(F.col(vector), lambda c: F.when(c.cast(kind) == zero, zero).otherwise(c.cast(kind)))  # one zero only
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(label).cast("long").alias("label"), x.alias("vector"))
-    ok = F.col("label").isNotNull() & valid(F.col("vector"))
+    ok = F.coalesce(F.col("label").isNotNull() & valid(F.col("vector")), F.lit(False))
     nodes = (
         rows.where(ok)
         .groupBy("label", "vector")
@@ -282,32 +328,37 @@ def linked_vectors(
     )
     nodes = scratch.keep(nodes)  # the numbers hold from here on
     bases = _directions(nodes, fit_rows, dims)
-    blocks = scratch.keep(_sorted_blocks(nodes.select("node", "label", "copies", "vector"), eps, bases, dims, block, number))
-    found = scratch.keep(_pair_results(blocks, cosine, eps, bases, dims, number))
+    blocks = scratch.keep(_sorted_blocks(nodes, eps, bases, dims, block, number))
+    found = scratch.keep(_pair_results(blocks, cosine, eps, bases, dims, number, scratch))
     roots = components(found.where("n < 0").select("u", "v"), scratch)
     counts = found.where("n >= 0").groupBy(F.col("u").alias("c_node")).agg(F.sum("n").alias("others"))
-    known = nodes.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").join(
+
+    # rows find their nodes by hashes, after a look that no two nodes share them
+    slim = nodes.select("node", "copies", "least", _identity(False).alias("is"))
+    whole = bool(slim.groupBy("is").count().where("count > 1").limit(1).count())
+    slim = nodes.select("node", "copies", "least", _identity(whole).alias("is"))
+    known = slim.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").join(
         counts, F.col("node") == F.col("c_node"), "left"
     )
     known = scratch.keep(
         known.select(
-            F.col("label").alias("k_label"),
-            F.col("vector").alias("k_vector"),
+            "is",
+            "copies",
             F.coalesce("root", "node").alias("root"),
             "least",
             (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"),
         )
     )
-    least = known.groupBy(F.col("root").alias("l_root")).agg(F.min("least").alias("component"))
-    known = known.join(least, F.col("root") == F.col("l_root"))
-    same = (F.col("label") == F.col("k_label")) & (F.col("vector") == F.col("k_vector"))
-    return (
-        rows.join(known.select("k_label", "k_vector", "links", "component"), same, "left")
-        .withColumn("component_id", F.when(F.col("links").isNull(), F.col("key")).otherwise(F.col("component")))
-        .select(
-            F.col("key").alias(key),
-            F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-            "component_id",
-            F.coalesce(F.col("key") == F.col("component_id"), F.lit(False)).alias("kept"),
-        )
+    least = known.groupBy(F.col("root").alias("l_root")).agg(F.min("least").alias("component"), F.count("*").alias("n_nodes"))
+    named = joined_evenly(known, scratch.keep(least), "root", "l_root", "n_nodes", known.count())
+    named = scratch.keep(named.select("is", "copies", "links", "component"))
+    each = scratch.keep(rows.select("key", F.when(ok, _identity(whole)).alias("its")))
+    valid_rows = each.where("its is not null")
+    linked = joined_evenly(valid_rows, named, "its", "is", "copies", valid_rows.count())
+    alone = each.where("its is null").select("key", "its", F.lit(0).cast("long").alias("links"), F.col("key").alias("component"))
+    return linked.unionByName(alone).select(
+        F.col("key").alias(key),
+        F.col("links").cast("long").alias("n_links"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("key") == F.col("component"), F.lit(False)).alias("kept"),
     )
