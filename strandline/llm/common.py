@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from strandline.sources.shared import Scratch, shared_dir
 
 __all__ = [
-    "ASCII_SPACE", "HOT_KEYS", "Scratch", "WORD", "dealt_out", "joined_evenly", "per_text", "present", "row_of", "shared_dir",
+    "ASCII_SPACE", "HOT_KEYS", "Scratch", "WORD", "dealt_out", "ids_of", "joined_evenly", "per_text", "present", "row_of", "shared_dir",
     "table", "with_texts",
 ]
 
@@ -96,6 +96,11 @@ def present(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def ids_of(docs: DataFrame, key: str) -> DataFrame:
+    """The distinct ids of documents, by their own name."""
+    return docs.select(F.col(key).cast("long").alias(key)).distinct()
+
+
 def row_of() -> Column:
     """All columns of a row as one struct, so that no name of an operator's own
     can meet one of its caller's; ``row.*`` gives them back."""

@@ -2,13 +2,14 @@
 
 Lines that begin with quote marks form passages, one for each run of a level.
 A passage is normalised (marks off, lower case, white space as one blank) and
-hashed, whole and by line.  Messages hash their own words the same way: whole,
-by paragraph and by line.  Equal hashes link a passage to the first message
-that said it: in the same conversation before the reply, else in any other one.
-A message's parent is what its outermost linked passage quotes; where parents
-form a ring, which takes two conversations, its first message by conversation
-and turn has none.  Following parents gives the thread, and the order in which
-every reply stands after its original.
+hashed, whole, by paragraph and by line, so that lines may be wrapped anew.
+Messages hash their own words the same way.  Equal hashes link a passage to the
+first message that said it: in the same conversation before the reply, else in
+any other one.  A message's parent is what its outermost linked passage quotes;
+where parents form a ring, which takes two conversations, its first message by
+conversation and turn has none.  Following parents gives the thread, and in it
+the order in which every reply stands after its original: a conversation is its
+thread's messages by ``place``, their own words only.
 
 A hash keeps only its first message, and the first of another conversation,
 before any join, so no phrase that many messages share multiplies rows.
@@ -25,12 +26,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import Scratch, per_text, present
+from strandline.llm.common import Scratch, joined_evenly, per_text, present
 
 #: Lines and paragraphs of fewer letters or digits link nothing on their own;
 #: whole passages and messages do within their conversation.
 LEAST = 12
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
+_BLANK = re.compile(r"\n[ \t]*\n")
 _SAID = re.compile(
     r"^[ \t]*(?:on|am|le|el|il)\b.{0,200}\b(?:wrote|schrieb|écrit|escribió|ha scritto)\b.{0,80}:[ \t]*$", re.IGNORECASE
 )
@@ -67,8 +69,8 @@ def digest(text: str, whole: bool = False) -> int | None:
 
 
 def parsed(text: str | None) -> tuple[str | None, list[tuple[int, list[int]]], list[int]]:
-    """Own words, quoted passages as (level, hashes: whole, then lines), and
-    hashes of the own words: whole, paragraphs, lines."""
+    """Own words, quoted passages as (level, hashes: whole, then paragraphs,
+    then lines, longer ones first), and the same hashes of the own words."""
     own: list[str] = []
     passages: list[tuple[int, list[str]]] = []
     last = 0
@@ -82,8 +84,10 @@ def parsed(text: str | None) -> tuple[str | None, list[tuple[int, list[int]]], l
         last = level
     kept = lambda all_, *parts: list(dict.fromkeys(h for h in (digest(all_, True), *map(digest, parts)) if h is not None))
     said = "\n".join(own).strip("\n") if passages else text
-    quoted = [(level, kept("\n".join(lines), *sorted(lines, key=len, reverse=True))) for level, lines in passages]
-    units = kept(said or "", *re.split(r"\n[ \t]*\n", said or ""), *own)
+    longest = lambda parts: sorted(parts, key=len, reverse=True)
+    whole = [(level, "\n".join(lines), lines) for level, lines in passages]
+    quoted = [(level, kept(text, *longest(_BLANK.split(text)), *longest(lines))) for level, text, lines in whole]
+    units = kept(said or "", *_BLANK.split(said or ""), *own)
     return said, quoted, units
 
 
@@ -111,50 +115,80 @@ def _at(conv: Column, turn: Column) -> Column:
     return F.struct(conv.alias("c"), turn.alias("t"))
 
 
-def linked_messages(
-    messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
-) -> DataFrame:
-    """One row per row of ``messages``: conv, turn, role, text (own words only),
-    n_quotes, max_level, n_linked (passages), reply_conv and reply_turn (the
-    parent; null without one), thread_conv, root_turn and depth.
-
-    Sorted by thread_conv, root_turn, depth, conv, turn, every reply stands
-    after its parent.  Null texts stay null and quote nothing.  Messages with a
-    null conv or turn are neither parents nor replies.  Repeated rows share
-    their links; an empty table gives no rows.  The first message of a ring has
-    no parent, though its passages count as linked.
-    """
-    scratch = Scratch(messages.sparkSession)
-    all_ = scratch.keep(_parse(messages, conv, turn, role, text))
+def _passage_links(all_: DataFrame, conv: str, turn: str, scratch: Scratch) -> DataFrame:
+    """Linked passages of parsed messages: c, t, passage (from 0), level, far
+    (whether to another conversation), place (of the hash that links) and to."""
     placed = all_.where(F.col(conv).isNotNull() & F.col(turn).isNotNull())
     said = placed.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.explode("units").alias("h"))
-    here = said.groupBy(F.col("c").alias("h_c"), F.col("h").alias("h_h")).agg(F.min("t").alias("h_t"))
+    # a phrase that many messages quote is many rows of a join: its sides are written tables, so that Spark can split them
+    here = scratch.keep(said.groupBy(F.col("c").alias("h_c"), F.col("h").alias("h_h")).agg(F.min("t").alias("h_t")))
     # a hash's first message, and its first in another conversation
     order = W.partitionBy("h_h").orderBy("h_c")
     first = here.where(F.col("h_h").bitwiseAND(1) == 0).withColumn("rank", F.row_number().over(order)).where("rank <= 2")
     at = _at(F.col("h_c"), F.col("h_t"))
-    anywhere = first.groupBy(F.col("h_h").alias("a_h")).agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    anywhere = scratch.keep(first.groupBy(F.col("h_h").alias("a_h")).agg(F.min(at).alias("a"), F.max(at).alias("b")))
 
     asked = (
         placed.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.posexplode("quoted").alias("passage", "q"))
         .select("c", "t", "passage", F.col("q.level").alias("level"), F.posexplode("q.hashes").alias("place", "h"))
         .distinct()
     )
+    asked = scratch.keep(asked)
     within = asked.join(here, (F.col("c") == F.col("h_c")) & (F.col("h") == F.col("h_h")), "left")
     both = within.join(anywhere, F.col("h") == F.col("a_h"), "left")
     inside = F.when(F.col("h_t") < F.col("t"), _at(F.col("c"), F.col("h_t")))
     outside = F.when(F.col("a.c") != F.col("c"), F.col("a")).when(F.col("b.c") != F.col("c"), F.col("b"))
     linked = both.withColumn("to", F.coalesce(inside, outside)).where("to is not null")
-    best = F.struct("level", (F.col("to.c") != F.col("c")).alias("far"), "place", "passage", "to")
-    parents = linked.groupBy("c", "t").agg(F.min(best).alias("best"), F.countDistinct("passage").alias("n_linked"))
+    best = F.struct((F.col("to.c") != F.col("c")).alias("far"), "place", "to")
+    return linked.groupBy("c", "t", "passage", "level").agg(F.min(best).alias("best")).select("c", "t", "passage", "level", "best.*")
+
+
+def passage_links(
+    messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
+) -> DataFrame:
+    """One row for each linked passage of each message: conv, turn, passage
+    (from 0), level, to_conv and to_turn, the message that said it first.
+
+    Null texts quote nothing; messages with a null conv or turn neither quote
+    nor are quoted; repeated rows give their links once; an empty table gives no
+    rows.
+    """
+    scratch = Scratch(messages.sparkSession)
+    all_ = scratch.keep(_parse(messages, conv, turn, role, text))
+    found = _passage_links(all_, conv, turn, scratch)
+    return found.select(
+        F.col("c").alias(conv), F.col("t").alias(turn), "passage", "level", F.col("to.c").alias("to_conv"), F.col("to.t").alias("to_turn")
+    )
+
+
+def linked_messages(
+    messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
+) -> DataFrame:
+    """One row per row of ``messages``: conv, turn, role, text (own words only),
+    n_quotes, max_level, n_linked (passages), reply_conv and reply_turn (the
+    parent; null without one), thread_conv, root_turn, depth, and place, from 0
+    in each thread.
+
+    By place a thread's messages come by depth, conv and turn, so that every
+    reply stands after its parent.  Null texts stay null and quote nothing.
+    Messages with a null conv or turn are neither parents nor replies, and have
+    no place.  Repeated rows share their links and have a place each; an empty
+    table gives no rows.  The first message of a ring has no parent, though its
+    passages count as linked.
+    """
+    scratch = Scratch(messages.sparkSession)
+    all_ = scratch.keep(_parse(messages, conv, turn, role, text))
+    links = _passage_links(all_, conv, turn, scratch)
+    best = F.struct("level", "far", "place", "passage", "to")
+    parents = links.groupBy("c", "t").agg(F.min(best).alias("best"), F.count("*").alias("n_linked"))
     parents = scratch.keep(parents.select("c", "t", F.col("best.to").alias("parent"), "n_linked"))
     parents = _without_rings(parents, scratch)
 
     roots = scratch.keep(_roots(parents.where("parent is not null"), scratch))
     known = parents.join(roots.select(F.col("c").alias("r_c"), F.col("t").alias("r_t"), "root", "depth"),
                          (F.col("c") == F.col("r_c")) & (F.col("t") == F.col("r_t")), "left")
-    out = all_.join(known, (F.col(conv) == F.col("c")) & (F.col(turn) == F.col("t")), "left")
-    return out.select(
+    out = all_.join(scratch.keep(known), (F.col(conv) == F.col("c")) & (F.col(turn) == F.col("t")), "left")
+    out = out.select(
         conv,
         turn,
         role,
@@ -168,6 +202,30 @@ def linked_messages(
         F.coalesce("root.t", turn).alias("root_turn"),
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
     )
+    return _placed(out, conv, turn, scratch)
+
+
+def _placed(out: DataFrame, conv: str, turn: str, scratch: Scratch) -> DataFrame:
+    """``out`` with each message's place in its thread.
+
+    All messages are sorted in ranges, so that no thread is one task; a range's
+    first number is the sum of those before it, and a thread's first number is
+    taken off."""
+    thread = F.when(F.col(conv).isNotNull() & F.col(turn).isNotNull(), F.struct("thread_conv", "root_turn"))
+    rows = scratch.keep(out.withColumns({"_thread": thread, "_row": F.monotonically_increasing_id()}))
+    order = ["thread_conv", "root_turn", "depth", conv, turn, "_row"]
+    ranged = rows.where("_thread is not null").repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = scratch.keep(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row a task
+    starts = starts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = ranged.join(F.broadcast(starts), part == F.col("_part"))
+    numbered = scratch.keep(numbered.withColumn("_at", F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_part", "_start", "_id"))
+    firsts = numbered.groupBy(F.col("_thread").alias("_its")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    with_place = joined_evenly(numbered, scratch.keep(firsts), "_thread", "_its", "_n", numbered.count())
+    others = rows.where("_thread is null").select(*out.columns, F.lit(None).cast("long").alias("place"))
+    return with_place.select(*out.columns, (F.col("_at") - F.col("_first")).alias("place")).unionByName(others)
 
 
 def _without_rings(parents: DataFrame, scratch: Scratch) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import per_text, present
+from strandline.llm.common import ids_of, per_text, present
 
 FIT_ROWS = 6000
 FOLDS = 5
@@ -194,8 +194,8 @@ def fit(
     label: str = "toxic",
     fit_rows: int = FIT_ROWS,
 ) -> ToxicityModel:
-    """A model from labelled rows that are not held out, at most ``fit_rows``
-    of each class, weighed so that the classes count as in all of them.
+    """A model from labelled rows that ``docs`` has and that are not held out,
+    at most ``fit_rows`` of each class, weighed so that the classes count as in all of them.
 
     Null labels and ids are passed over; an id with several labels counts by
     the highest; of several texts of an id, the least by hash counts.  Without
@@ -206,6 +206,7 @@ def fit(
         .where(F.col(key).isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col(key)))
         .groupBy(key)
         .agg(F.max("_y").alias("_y"))
+        .join(ids_of(docs, key), key, "left_semi")
     )
     size = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     if len(size) < 2:

@@ -1,3 +1,5 @@
+import random
+
 from strandline.llm import quotes as Q
 
 FIRST = "Hello, could you explain joins?\n\nAlso tell me about windows please."
@@ -86,3 +88,130 @@ def test_rings_of_any_length_lose_one_link(spark):
         assert [got[100 + i, 0].depth for i in range(5)] == [1, 2, 3, 4, 5] and got[104, 0].thread_conv == 0
         assert [got[200 + i, 0].depth for i in range(6)] == [5, 4, 3, 2, 1, 0]
         assert sorted(got[i, 0].depth for i in range(n)) == list(range(n))
+
+
+def texts_of(text, whole, paragraphs, lines):
+    """What of a text links, longest kinds first: (normal text, only within its conversation)."""
+    out = []
+    for i, part in enumerate([whole, *paragraphs, *lines]):
+        part = Q.normal(part)
+        short = sum(c.isalnum() for c in part) < Q.LEAST
+        if part and (i == 0 or not short) and (part, short) not in out:
+            out.append((part, short))
+    return out
+
+
+def split(text):
+    """Own words and passages of a message, as lists of lines."""
+    own, passages, last = [], [], 0
+    for level, line in Q.levels(text):
+        if not level:
+            own.append(line)
+        elif level != last:
+            passages.append((level, [line]))
+        else:
+            passages[-1][1].append(line)
+        last = level
+    return own, passages
+
+
+def nested_loops(rows):
+    """Every passage compared with every message; links as passage_links gives them."""
+    said = {}
+    for c, t, _, text in rows:
+        own, passages = split(text)
+        whole = "\n".join(own).strip("\n") if passages else text or ""
+        said[c, t] = texts_of(text, whole, Q._BLANK.split(whole), own)
+    links = {}
+    for c, t, _, text in rows:
+        for p, (level, lines) in enumerate(split(text)[1]):
+            whole = "\n".join(lines)
+            by_length = lambda parts: sorted(parts, key=len, reverse=True)
+            candidates = []
+            for place, unit in enumerate(texts_of(text, whole, by_length(Q._BLANK.split(whole)), by_length(lines))):
+                inside = min((t2 for (c2, t2), units in said.items() if c2 == c and t2 < t and unit in units), default=None)
+                outside = min(((c2, t2) for (c2, t2), units in said.items() if c2 != c and unit in units), default=None)
+                if inside is not None:
+                    candidates.append((False, place, (c, inside)))
+                elif outside is not None and not unit[1]:
+                    candidates.append((True, place, outside))
+            if candidates:
+                links[c, t, p, level] = min(candidates)
+    return links
+
+
+def random_threads(seed, n=60):
+    """Conversations whose messages quote others: whole, a paragraph, a line, or
+    wrapped anew; with phrases that many share.  Returns rows and what was quoted."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 7)))
+    paragraph = lambda: "\n".join(" ".join(word() for _ in range(rng.randint(3, 9))) for _ in range(rng.randint(1, 3)))
+    rows, planted, own = [], {}, {}
+    for c in range(n):
+        for t in range(rng.randint(1, 6)):
+            body = "\n\n".join(paragraph() for _ in range(rng.randint(1, 3)))
+            if rng.random() < 0.2:
+                body += "\n\nThank you very much in advance!"
+            text = body
+            if own and rng.random() < 0.7:
+                near = [k for k in own if k[0] == c]
+                k = rng.choice(near if near and rng.random() < 0.8 else list(own))
+                kind = rng.choice(["whole", "paragraph", "line", "wrapped"])
+                part = own[k]
+                if kind == "paragraph":
+                    part = rng.choice(part.split("\n\n"))
+                elif kind == "line":
+                    part = rng.choice([x for x in part.split("\n") if x])
+                elif kind == "wrapped":
+                    flat = [p.split() for p in part.split("\n\n")]
+                    part = "\n\n".join("\n".join(" ".join(p[i : i + 4]) for i in range(0, len(p), 4)) for p in flat)
+                mark = rng.choice(["> ", ">", "> > "])
+                text = "\n".join(mark + x for x in part.split("\n")) + "\n" + body
+                planted[c, t] = k
+            own[c, t] = body
+            rows.append((c, t, "user", text))
+    return rows, planted
+
+
+def test_links_are_those_of_nested_loops(spark):
+    found = right = 0
+    for seed in (1, 2):
+        rows, planted = random_threads(seed)
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        got = {(r.conv_id, r.turn, r.passage, r.level): (r.to_conv, r.to_turn) for r in Q.passage_links(df).collect()}
+        want = nested_loops(rows)
+        assert got == {k: to for k, (_, _, to) in want.items()}
+        messages = {(r.conv_id, r.turn): r for r in Q.linked_messages(df).collect()}
+        for k, r in messages.items():
+            assert r.n_linked == sum(x[:2] == k for x in want)
+            own = [(level, far, place, p, to) for (c, t, p, level), (far, place, to) in want.items() if (c, t) == k]
+            if own and r.reply_conv is not None:
+                assert (r.reply_conv, r.reply_turn) == min(own)[-1]
+        # of the planted quotes, how many replies lead to the message that was quoted
+        for k, to in planted.items():
+            found += 1
+            right += (messages[k].reply_conv, messages[k].reply_turn) == to
+    assert found > 100 and right >= 0.9 * found
+
+
+def test_places(spark, monkeypatch):
+    """Gapless in every thread, replies after originals, also in a thread that has most messages."""
+    monkeypatch.setattr("strandline.llm.common.HOT_KEYS", 4)
+    rows, _ = random_threads(3, 30)
+    said = "this is what all of them answer to"
+    rows += [(1000, 0, "u", said)] + [(1000, i, "u", f"> {said}\nanswer number {i} of many") for i in range(1, 300)]
+    rows += [(None, 1, "u", "x"), (1000, None, "u", "y")] + rows[:3]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = Q.linked_messages(df).collect()
+    assert len(got) == len(rows) and sum(r.place is None for r in got) == 2
+    threads = {}
+    for r in got:
+        if r.place is not None:
+            threads.setdefault((r.thread_conv, r.root_turn), []).append(r)
+    assert max(map(len, threads.values())) == 300
+    for members in threads.values():
+        assert sorted(r.place for r in members) == list(range(len(members)))
+        order = sorted(members, key=lambda r: r.place)
+        assert [(r.depth, r.conv_id, r.turn) for r in order] == sorted((r.depth, r.conv_id, r.turn) for r in order)
+    at = {(r.conv_id, r.turn): r.place for r in got}
+    assert all(at[r.reply_conv, r.reply_turn] < r.place for r in got if r.reply_conv is not None)
