@@ -172,8 +172,8 @@ def linked_messages(
     By place a thread's messages come by depth, conv and turn, so that every
     reply stands after its parent.  Null texts stay null and quote nothing.
     Messages with a null conv or turn are neither parents nor replies, and have
-    no place.  Repeated rows share their links and have a place each; an empty
-    table gives no rows.  The first message of a ring has no parent, though its
+    no place.  Repeated rows (of one conv and turn) share their links and their
+    place; an empty table gives no rows.  The first message of a ring has no parent, though its
     passages count as linked.
     """
     scratch = Scratch(messages.sparkSession)
@@ -185,10 +185,20 @@ def linked_messages(
     parents = _without_rings(parents, scratch)
 
     roots = scratch.keep(_roots(parents.where("parent is not null"), scratch))
-    known = parents.join(roots.select(F.col("c").alias("r_c"), F.col("t").alias("r_t"), "root", "depth"),
-                         (F.col("c") == F.col("r_c")) & (F.col("t") == F.col("r_t")), "left")
-    out = all_.join(scratch.keep(known), (F.col(conv) == F.col("c")) & (F.col(turn) == F.col("t")), "left")
-    out = out.select(
+    here = F.col(conv).isNotNull() & F.col(turn).isNotNull()
+    known = all_.where(here).select(F.col(conv).alias("c"), F.col(turn).alias("t")).distinct().join(parents, ["c", "t"], "left")
+    known = known.join(roots.select("c", "t", "root", "depth"), ["c", "t"], "left").select(
+        F.col("c").alias("k_c"),
+        F.col("t").alias("k_t"),
+        "n_linked",
+        "parent",
+        F.coalesce("root", _at(F.col("c"), F.col("t"))).alias("thread"),
+        F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+    )
+    known = scratch.keep(_with_places(scratch.keep(known), scratch))
+    # the one join that moves texts
+    out = all_.join(known, (F.col(conv) == F.col("k_c")) & (F.col(turn) == F.col("k_t")), "left")
+    return out.select(
         conv,
         turn,
         role,
@@ -198,34 +208,31 @@ def linked_messages(
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.col("parent.c").alias("reply_conv"),
         F.col("parent.t").alias("reply_turn"),
-        F.coalesce("root.c", conv).alias("thread_conv"),
-        F.coalesce("root.t", turn).alias("root_turn"),
-        F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+        F.coalesce("thread.c", conv).alias("thread_conv"),
+        F.coalesce("thread.t", turn).alias("root_turn"),
+        F.coalesce("depth", F.lit(0)).alias("depth"),
+        "place",
     )
-    return _placed(out, conv, turn, scratch)
 
 
-def _placed(out: DataFrame, conv: str, turn: str, scratch: Scratch) -> DataFrame:
-    """``out`` with each message's place in its thread.
+def _with_places(known: DataFrame, scratch: Scratch) -> DataFrame:
+    """``known`` with each message's place in its thread.
 
     All messages are sorted in ranges, so that no thread is one task; a range's
     first number is the sum of those before it, and a thread's first number is
     taken off."""
-    thread = F.when(F.col(conv).isNotNull() & F.col(turn).isNotNull(), F.struct("thread_conv", "root_turn"))
-    rows = scratch.keep(out.withColumns({"_thread": thread, "_row": F.monotonically_increasing_id()}))
-    order = ["thread_conv", "root_turn", "depth", conv, turn, "_row"]
-    ranged = rows.where("_thread is not null").repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = scratch.keep(ranged.withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", 33)
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row a task
-    starts = starts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = ranged.join(F.broadcast(starts), part == F.col("_part"))
-    numbered = scratch.keep(numbered.withColumn("_at", F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_part", "_start", "_id"))
-    firsts = numbered.groupBy(F.col("_thread").alias("_its")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    with_place = joined_evenly(numbered, scratch.keep(firsts), "_thread", "_its", "_n", numbered.count())
-    others = rows.where("_thread is null").select(*out.columns, F.lit(None).cast("long").alias("place"))
-    return with_place.select(*out.columns, (F.col("_at") - F.col("_first")).alias("place")).unionByName(others)
+    order = ["thread", "depth", "k_c", "k_t"]
+    ranged = known.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = scratch.keep(ranged.withColumn("id", F.monotonically_increasing_id()))
+    part = F.shiftright("id", 33)
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # one row a task
+    starts = starts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    numbered = ranged.join(F.broadcast(starts), part == F.col("part"))
+    numbered = scratch.keep(numbered.withColumn("at", F.col("start") + F.col("id").bitwiseAND((1 << 33) - 1)).drop("part", "start", "id"))
+    firsts = numbered.groupBy(F.col("thread").alias("its")).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    joined = joined_evenly(numbered, scratch.keep(firsts), "thread", "its", "n", numbered.count())
+    return joined.withColumn("place", F.col("at") - F.col("first")).drop("at", "first")
 
 
 def _without_rings(parents: DataFrame, scratch: Scratch) -> DataFrame:

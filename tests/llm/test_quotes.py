@@ -207,7 +207,7 @@ def test_places(spark, monkeypatch):
     threads = {}
     for r in got:
         if r.place is not None:
-            threads.setdefault((r.thread_conv, r.root_turn), []).append(r)
+            threads.setdefault((r.thread_conv, r.root_turn), set()).add(r)
     assert max(map(len, threads.values())) == 300
     for members in threads.values():
         assert sorted(r.place for r in members) == list(range(len(members)))
