@@ -196,15 +196,18 @@ def linked_messages(
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
     )
     known = scratch.keep(_with_places(scratch.keep(known), scratch))
+    n_quotes = F.size("quoted").cast("long")
+    max_level = F.coalesce(F.array_max(F.transform("quoted", lambda q: q.level)), F.lit(0))
+    rows = all_.select(conv, turn, role, "text", n_quotes.alias("n_quotes"), max_level.alias("max_level"))
     # the one join that moves texts
-    out = all_.join(known, (F.col(conv) == F.col("k_c")) & (F.col(turn) == F.col("k_t")), "left")
+    out = rows.join(known, (F.col(conv) == F.col("k_c")) & (F.col(turn) == F.col("k_t")), "left")
     return out.select(
         conv,
         turn,
         role,
         "text",
-        F.size("quoted").cast("long").alias("n_quotes"),
-        F.coalesce(F.array_max(F.transform("quoted", lambda q: q.level)), F.lit(0)).alias("max_level"),
+        "n_quotes",
+        "max_level",
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.col("parent.c").alias("reply_conv"),
         F.col("parent.t").alias("reply_turn"),
