@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from strandline.sources.shared import Scratch, shared_dir
 
 __all__ = [
-    "ASCII_SPACE", "HOT_KEYS", "Scratch", "WORD", "dealt_out", "ids_of", "joined_evenly", "per_text", "present", "row_of", "shared_dir",
-    "table", "with_texts",
+    "ASCII_SPACE", "HOT_KEYS", "Scratch", "WORD", "dealt_out", "ids_of", "joined_evenly", "marked", "per_text", "present", "shared_dir",
+    "table", "unmarked", "with_texts",
 ]
 
 #: The ASCII white space that separates words: space and 0x09 to 0x0D.
@@ -26,6 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of texts that go to Python at once, about, and Spark's own number.
+BATCH_BYTES, SPARK_BATCH_BYTES = 8 << 20, 64 << 20
+
+
+def _small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands texts over BATCH_BYTES at a time.
+
+    Spark's batches of 64 MB lie in the executor's memory outside the heap, and
+    again in each Python worker.  A session whose setting is not Spark's own
+    keeps it."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name).removesuffix("b") == str(SPARK_BATCH_BYTES):
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def per_text(
     df: DataFrame,
     columns: list[str | Column],
@@ -48,7 +64,7 @@ def per_text(
                 out = f([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, arrow)], schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return _small_batches(df).select(*columns).mapInArrow(run, schema)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -88,7 +104,7 @@ def with_texts(
                 yield part if stay is None else part.filter(pa.array(stay, pa.bool_()))
 
     plain = df.toDF(*(f"c{i}" for i in range(len(names))))  # names with dots cannot be passed on
-    return plain.mapInArrow(run, T.StructType(fields))
+    return _small_batches(plain).mapInArrow(run, T.StructType(fields))
 
 
 def present(df: DataFrame, name: str, kind: str) -> Column:
@@ -101,10 +117,15 @@ def ids_of(docs: DataFrame, key: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias(key)).distinct()
 
 
-def row_of() -> Column:
-    """All columns of a row as one struct, so that no name of an operator's own
-    can meet one of its caller's; ``row.*`` gives them back."""
-    return F.struct("*").alias("row")
+def marked(df: DataFrame, **own: Column) -> DataFrame:
+    """``df`` with columns of an operator's ``own`` beside its caller's, which
+    are called c0, c1 and so on, so that no two names can meet."""
+    return df.select("*", *own.values()).toDF(*(f"c{i}" for i in range(len(df.columns))), *own)
+
+
+def unmarked(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """The caller's columns of marked rows, by the names that ``like`` has."""
+    return rows.select(*(f"c{i}" for i in range(len(like.columns)))).toDF(*like.columns)
 
 
 #: A key is hot if it has more than this part of the rows; there are at most so many.

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WORD, Scratch, dealt_out, present, row_of
+from strandline.llm.common import WORD, Scratch, dealt_out, marked, present, unmarked
 
 SEED = 17
 MOST_TIMES = 3
@@ -272,16 +272,16 @@ class Mix:
     def rows(self, docs: DataFrame) -> DataFrame:
         """The rows of ``docs`` as often as they are taken.  Like documents
         count as one here: ``whole`` must hold."""
-        marked = docs.select(
-            row_of(),
-            _pattern(self.membership).alias("_pattern"),
-            present(docs, self.key, "long").alias("_key"),
-            words_of(F.col(self.text).cast("string")).alias("_size"),
-            F.lit(1).cast("long").alias("_n"),
+        rows = marked(
+            docs,
+            _pattern=_pattern(self.membership),
+            _key=present(docs, self.key, "long"),
+            _size=words_of(F.col(self.text).cast("string")),
+            _n=F.lit(1).cast("long"),
         ).withColumn("_order", self._order())
         times = F.col("_times") + F.when(F.col("_more") > 0, 1).otherwise(0)
-        often = self._more(marked).withColumn("_time", F.explode(F.sequence(F.lit(0), F.lit(self.most - 1))))
-        return often.where(F.col("_time") < times).select("row.*")
+        often = self._more(rows).where(times > 0).withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+        return unmarked(often, docs)
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import present, row_of
+from strandline.llm.common import marked, present, unmarked
 
 ROUNDS = 8
 
@@ -292,8 +292,8 @@ def pseudonymised(df: DataFrame, key: str, text: str = "text", backwards: bool =
     Texts are searched whole; null texts stay null; equal texts become equal
     ones; an empty table gives no rows.  ``backwards`` puts the values back.
     """
-    new = _searched(df.select(row_of(), F.col(text).alias("body")), key, backwards)
-    return new.select(*(F.col("body" if c == text else f"row.`{c}`").alias(c) for c in df.columns))
+    new = _searched(marked(df, body=F.col(text)), key, backwards)
+    return unmarked(new.withColumn(f"c{df.columns.index(text)}", F.col("body")), df)
 
 
 def _searched(rows: DataFrame, key: str, backwards: bool = False) -> DataFrame:
