@@ -13,7 +13,7 @@ from strandline.sources.shared import Scratch, shared_dir
 
 __all__ = [
     "ASCII_SPACE", "HOT_KEYS", "Scratch", "WORD", "dealt_out", "ids_of", "joined_evenly", "marked", "per_text", "present", "shared_dir",
-    "table", "unmarked", "with_texts",
+    "table", "texts", "unmarked", "with_texts",
 ]
 
 #: The ASCII white space that separates words: space and 0x09 to 0x0D.
@@ -22,10 +22,23 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: A table of fewer bytes may lie in one row group, which one task would read.
+SMALL_TABLE = 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts take long: a small one dealt to all cores, a larger
+    one as it lies in its files, without a shuffle."""
+    rows = table(spark, sf_dir, name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return rows.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_TABLE else rows
+
+
 #: Bytes of texts that go to Python at once, about, and Spark's own number.
 BATCH_BYTES, SPARK_BATCH_BYTES = 8 << 20, 64 << 20
 
