@@ -33,7 +33,8 @@ from pyspark.sql import types as T
 from strandline.llm.common import per_text, present
 
 #: What a worker remembers at most: the ids of stretches without white space
-#: of up to KNOWN_LENGTH characters, and which pairs of tokens are compatible.
+#: of up to KNOWN_LENGTH characters, the latest so many and those before them,
+#: and which pairs of tokens are compatible.
 KNOWN_CHUNKS, KNOWN_LENGTH, KNOWN_PAIRS = 1 << 17, 40, 1 << 18
 #: The symbol of a word's last byte is the byte's letter moved up by this.
 _LAST = 1 << 16
@@ -140,16 +141,22 @@ class SuffixAutomaton:
 
 
 class _Known(dict):
-    """The ids of chunks, made when first asked for."""
+    """The ids of chunks, made when first asked for.
+
+    When it is full, it begins anew but still looks into what it had, so that
+    common chunks are made once."""
 
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.make = make
+        self.make, self.before = make, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.make(chunk)
+        ids = self.before.get(chunk)
+        if ids is None:
+            ids = self.make(chunk)
         if len(chunk) <= KNOWN_LENGTH:
             if len(self) >= KNOWN_CHUNKS:
+                self.before = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
