@@ -28,7 +28,11 @@ ROUNDS = 8
 # stand before, the value, what must not stand after, in Java's pattern language.
 FORMS = {
     "email": (r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", None),
-    "iban": (r"[A-Za-z0-9]", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", r"[A-Za-z0-9]"),
+    "iban": (
+        r"[A-Za-z0-9]",
+        r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?",
+        r"[A-Za-z0-9]",
+    ),
     "date": (
         r"[0-9./-]",
         r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}",
@@ -145,6 +149,10 @@ def _card_in(value: Column) -> list[Column]:
     return [F.regexp_extract(value, f"^(.*?)({CARD})(.*)$", i) for i in (1, 2, 3)]
 
 
+def _joined(value: Column) -> Column:
+    return F.replace(value, F.lit(" "))
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -193,7 +201,7 @@ def kind_of(value: Column) -> Column:
     card = _card_in(value)[1]
     return (
         F.when(value.contains("@"), "email")
-        .when(is_("iban"), F.when(_mod97(F.concat(F.substring(value, 5, 40), F.substring(value, 1, 4))) == 1, "iban"))
+        .when(is_("iban"), F.when(_mod97(F.concat(F.substring(_joined(value), 5, 40), F.substring(value, 1, 4))) == 1, "iban"))
         .when(is_("date"), F.when(_date_of(value).isNotNull(), "date"))
         .when(is_("ip"), F.when(F.forall(F.split(value, r"\."), lambda o: o.cast("int") <= 255), "ip"))
         .when(is_("ssn"), F.when(value.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), "ssn"))
@@ -234,9 +242,11 @@ def pseudonym(value: Column, kind: Column, key: str, backwards: bool = False) ->
     # the longest that passes is the card
     card = F.when(_passes(digits), _card(value, key, backwards)).otherwise(_card_beside(value, key, backwards))
 
-    body = permuted(F.substring(value, 5, 40), key, "iban", backwards)
+    # written in groups of four or in one, an account has one pseudonym
+    body = permuted(F.substring(_joined(value), 5, 40), key, "iban", backwards)
     country = F.substring(value, 1, 2)
     iban = F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0"), body)
+    iban = F.when(value.contains(" "), F.regexp_replace(iban, "(.{4})(?=.)", "$1 ")).otherwise(iban)
 
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     email = F.concat(permuted(local, key, "email", backwards), F.lit("@"), domain)

@@ -106,3 +106,18 @@ def test_a_card_beside_a_short_number(spark):
     # a wrong check digit stays
     bad = "4111 1111 1111 1112 123"
     assert not luhn(bad.replace(" ", "")) and P.pseudonym_rows(spark.createDataFrame([(1, bad)], "doc_id long, text string"), "key").first().text == bad
+
+
+def test_an_iban_in_groups(spark):
+    grouped = ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "BE68 5390 0754 7034"]
+    texts = [t for g in grouped for t in (f"to {g}.", f"to {g.replace(' ', '')}.")] + ["to GB82 WEST 1234 5698 7654 33.", "DE89 3704 0044 0532 0130 00 or"]
+    rows = {r.doc_id: r for r in P.pseudonym_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
+    for i in range(0, 2 * len(grouped), 2):
+        new = rows[i].text
+        assert rows[i].n_iban == rows[i + 1].n_iban == 1 and new != texts[i] and len(new) == len(texts[i])
+        assert [len(x) for x in new.split()] == [len(x) for x in texts[i].split()]
+        # one account has one pseudonym, however it is written
+        assert new.removeprefix("to ").replace(" ", "") == rows[i + 1].text.removeprefix("to ")
+    assert rows[8].text == texts[8] and rows[9].n_iban == 1 and rows[9].text.endswith(" or")
+    back = P.pseudonymised(spark.createDataFrame(list(rows.values())), "key", backwards=True).collect()
+    assert {r.doc_id: r.text for r in back} == dict(enumerate(texts))
