@@ -57,6 +57,8 @@ CARD = (
 #: A card beside a number is permuted until both together pass no test, so that
 #: the way back finds the same card; 0.1 to the power of this remain.
 WALK = 16
+#: Likewise of dates with the month first: 0.4 to the power of this remain.
+DAY_WALK = 32
 PATTERN = "|".join(f"(?<!{a})(?:{v})" + (f"(?!{z})" if z else "") for a, v, z in FORMS.values())
 #: A text with a match has one of this.
 MAYBE = r"[0-9]{2}|@|[0-9]\.[0-9]"
@@ -184,9 +186,17 @@ def _refilled(form: Column, digits: Column) -> Column:
     )
 
 
+def _month_first(value: Column) -> Column:
+    """Whether a date with slashes can only have its month first."""
+    return value.contains("/") & (F.substring(value, 4, 2) > "12")
+
+
 def _date_of(value: Column) -> Column:
-    iso = F.when(value.contains("-"), value).otherwise(
-        F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2))
+    year, one, two = F.substring(value, 7, 4), F.substring(value, 1, 2), F.substring(value, 4, 2)
+    iso = (
+        F.when(value.contains("-"), value)
+        .when(_month_first(value), F.concat_ws("-", year, one, two))
+        .otherwise(F.concat_ws("-", year, two, one))
     )
     return F.try_to_date(iso, "yyyy-MM-dd")
 
@@ -233,6 +243,20 @@ def _card_beside(value: Column, key: str, backwards: bool) -> Column:
     return F.concat(before, F.reduce(F.sequence(F.lit(1), F.lit(WALK)), start, step, lambda s: s.v), after)
 
 
+def _day_over_12(day: Column, moved: Callable, at: Callable) -> Column:
+    """``day`` moved until it is after the 12th of a month, so that its date, too,
+    can only have its month first."""
+
+    def step(state: Column, _: Column) -> Column:
+        tried = F.transform(
+            F.array(moved(state.v)), lambda v: F.struct(v.alias("v"), (F.dayofmonth(at(v)) > 12).alias("done"))
+        )
+        return F.when(state.done, state).otherwise(F.get(tried, F.lit(0)))
+
+    start = F.struct(day.cast("long").alias("v"), F.lit(False).alias("done"))
+    return F.reduce(F.sequence(F.lit(1), F.lit(DAY_WALK)), start, step, lambda s: s.v)
+
+
 def pseudonym(value: Column, kind: Column, key: str, backwards: bool = False) -> Column:
     """The pseudonym by ``key`` of a match of this kind; of a null kind, the
     match itself."""
@@ -277,16 +301,17 @@ def pseudonym(value: Column, kind: Column, key: str, backwards: bool = False) ->
         lambda s: F.concat_ws(".", *(x.cast("string") for y in (s.a, s.b) for x in (F.shiftright(y, 8), y.bitwiseAND(255)))),
     )
 
-    day = F.date_diff(_date_of(value), F.lit(FIRST_DAY).cast("date"))
-    moved = lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s.a * DAYS_B + s.b).cast("int"))
-    form = F.when(value.contains("-"), "yyyy-MM-dd").when(value.contains("/"), "dd/MM/yyyy").otherwise("dd.MM.yyyy")
-    shown = lambda d: (
-        F.when(form == "yyyy-MM-dd", F.date_format(d, "yyyy-MM-dd"))
-        .when(form == "dd/MM/yyyy", F.date_format(d, "dd/MM/yyyy"))
-        .otherwise(F.date_format(d, "dd.MM.yyyy"))
+    at = lambda day: F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int"))
+    moved = lambda day: _permuted_pair(
+        (day / DAYS_B).cast("int"), F.pmod(day, F.lit(DAYS_B)), DAYS_A, DAYS_B, key, "date", backwards, lambda s: s.a * DAYS_B + s.b
     )
-    date = _permuted_pair(
-        (day / DAYS_B).cast("int"), F.pmod(day, F.lit(DAYS_B)), DAYS_A, DAYS_B, key, "date", backwards, lambda s: shown(moved(s))
+    day = F.date_diff(_date_of(value), F.lit(FIRST_DAY).cast("date"))
+    shown = at(moved(day))
+    date = (
+        F.when(_month_first(value), F.date_format(at(_day_over_12(day, moved, at)), "MM/dd/yyyy"))
+        .when(value.contains("-"), F.date_format(shown, "yyyy-MM-dd"))
+        .when(value.contains("/"), F.date_format(shown, "dd/MM/yyyy"))
+        .otherwise(F.date_format(shown, "dd.MM.yyyy"))
     )
     by_kind = {"email": email, "card": card, "iban": iban, "ssn": ssn, "phone": phone, "ip": ip, "date": date}
     out = F.when(kind.isNull(), value)

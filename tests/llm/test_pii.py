@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 
 import pytest
@@ -121,3 +122,18 @@ def test_an_iban_in_groups(spark):
     assert rows[8].text == texts[8] and rows[9].n_iban == 1 and rows[9].text.endswith(" or")
     back = P.pseudonymised(spark.createDataFrame(list(rows.values())), "key", backwards=True).collect()
     assert {r.doc_id: r.text for r in back} == dict(enumerate(texts))
+
+
+def test_dates_with_the_month_first(spark):
+    texts = ["born 12/31/1985", "12/31/1985 02/29/2024", "02/30/2024 13/13/1999 00/13/1999", "31/12/1985 1985-12-31"]
+    texts += [f"{m:02d}/{d}/20{y:02d}" for y in range(100) for m in (1, 2, 12) for d in (13, 28)]
+    rows = {r.doc_id: r for r in P.pseudonym_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
+    assert rows[0].n_date == 1 and rows[1].n_date == 2 and rows[2].n_date == 0 and rows[2].text == texts[2]
+    assert rows[0].text.split()[1] == rows[1].text.split()[0] != "12/31/1985"
+    news = [rows[i].text for i in range(4, len(texts))]
+    assert len(set(news)) == len(news)
+    for new in news:
+        m, d, y = map(int, new.split("/"))
+        assert 12 < d and datetime.date(y, m, d)
+    back = P.pseudonymised(spark.createDataFrame(list(rows.values())), "key", backwards=True).collect()
+    assert {r.doc_id: r.text for r in back} == dict(enumerate(texts))
