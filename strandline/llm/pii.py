@@ -306,13 +306,14 @@ def pseudonym(value: Column, kind: Column, key: str, backwards: bool = False) ->
         (day / DAYS_B).cast("int"), F.pmod(day, F.lit(DAYS_B)), DAYS_A, DAYS_B, key, "date", backwards, lambda s: s.a * DAYS_B + s.b
     )
     day = F.date_diff(_date_of(value), F.lit(FIRST_DAY).cast("date"))
-    shown = at(moved(day))
-    date = (
-        F.when(_month_first(value), F.date_format(at(_day_over_12(day, moved, at)), "MM/dd/yyyy"))
-        .when(value.contains("-"), F.date_format(shown, "yyyy-MM-dd"))
-        .when(value.contains("/"), F.date_format(shown, "dd/MM/yyyy"))
-        .otherwise(F.date_format(shown, "dd.MM.yyyy"))
+    new = F.when(_month_first(value), _day_over_12(day, moved, at)).otherwise(moved(day))
+    shown = lambda d: (
+        F.when(_month_first(value), F.date_format(d, "MM/dd/yyyy"))
+        .when(value.contains("-"), F.date_format(d, "yyyy-MM-dd"))
+        .when(value.contains("/"), F.date_format(d, "dd/MM/yyyy"))
+        .otherwise(F.date_format(d, "dd.MM.yyyy"))
     )
+    date = F.get(F.transform(F.array(new), lambda v: shown(at(v))), F.lit(0))
     by_kind = {"email": email, "card": card, "iban": iban, "ssn": ssn, "phone": phone, "ip": ip, "date": date}
     out = F.when(kind.isNull(), value)
     for k in KINDS:
