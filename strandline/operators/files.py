@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.sources.shared import Scratch
+
 # Bytes of a chunk, and the root's inode number.
 CHUNK = 256 << 10
 ROOT = 1
@@ -26,9 +28,15 @@ def resolve_path(dirents: DataFrame, path: str, root: int = ROOT) -> DataFrame:
     return at
 
 
-def readdir(dirents: DataFrame, parent: Column | str = "parent") -> DataFrame:
+def readdir(dirents: DataFrame) -> DataFrame:
     """Every directory's listing: parent, name, ino and offset; ``.`` is 1 and
-    ``..`` 2, names follow in byte order from 3."""
+    ``..`` 2, names follow in byte order from 3.
+
+    The entries are sorted into ranges, which a large directory has many of, and
+    numbered in each; a range's numbers start after those of the directory's
+    ranges before it.  Entries are rows: a name listed twice has two numbers.
+    """
+    scratch = Scratch(dirents.sparkSession)
     dirs = dirents.select("parent").distinct()
     up = dirents.select(F.col("ino").alias("parent"), F.col("parent").alias("_up"))
     dots = dirs.join(up, "parent", "left").select(
@@ -40,9 +48,18 @@ def readdir(dirents: DataFrame, parent: Column | str = "parent") -> DataFrame:
             )
         ).alias("e"),
     )
-    rank = F.row_number().over(W.partitionBy("parent").orderBy("name")).cast("long") + 2
-    named = dirents.select("parent", "name", "ino", rank.alias("offset"))
-    return dots.select("parent", "e.*").unionByName(named)
+    cut = dirents.select("parent", "name", "ino").repartitionByRange("parent", "name")
+    # written, since a range's number must not change between its two uses
+    cut = scratch.keep(cut.withColumn("_range", F.spark_partition_id()))
+    sizes = cut.groupBy("parent", "_range").agg(F.count("*").alias("_n"))
+    before = W.partitionBy("parent").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    # only the first directory of a range can go on from the range before: one row a range at most
+    starts = sizes.select(F.col("parent").alias("_dir"), F.col("_range").alias("_at"), F.sum("_n").over(before).alias("_before"))
+    same = F.col("parent").eqNullSafe(F.col("_dir")) & (F.col("_range") == F.col("_at"))
+    rank = F.row_number().over(W.partitionBy("parent", "_range").orderBy("name")).cast("long") + 2
+    named = cut.withColumn("_rank", rank).join(F.broadcast(starts.where("_before > 0")), same, "left")
+    offset = F.col("_rank") + F.coalesce("_before", F.lit(0).cast("long"))
+    return dots.select("parent", "e.*").unionByName(named.select("parent", "name", "ino", offset.alias("offset")))
 
 
 def chunked(files: DataFrame, value: str, chunk: int = CHUNK) -> DataFrame:

@@ -90,6 +90,26 @@ def test_files(spark):
     assert files.truncated(chunks, 1, 200, 100).count() == 2
 
 
+def test_a_large_directory_is_numbered_in_ranges(spark):
+    names = spark.range(3000).select(
+        F.when(F.col("id") < 2000, 7).when(F.col("id") < 2900, F.col("id") % 50).cast("long").alias("parent"),
+        F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"),
+        (F.col("id") + 100).alias("ino"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        listing = files.readdir(names).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for r in sorted(names.collect(), key=lambda r: r.name):
+        want.setdefault(r.parent, []).append((r.name, r.ino))
+    assert {None, 7} < set(want)
+    for parent, entries in want.items():
+        got = sorted((r.offset, r.name, r.ino) for r in listing if r.parent == parent and r.offset > 2)
+        assert got == [(i, *e) for i, e in enumerate(entries, 3)]
+
+
 def test_directories(spark):
     d = spark.createDataFrame([(1, "b", 2), (1, "a", 3), (2, "x", 4)], "parent long, name string, ino long")
     i = spark.createDataFrame([(2, True), (3, False), (4, False)], "ino long, is_dir boolean")
