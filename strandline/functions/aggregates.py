@@ -23,12 +23,15 @@ def nearest_ranks(rows: DataFrame, group: str, value: str, percents: list[int],
     in which one an element lies, and only that bucket is ranked.  The result is
     exact, and no task ranks a whole group.
     """
-    all_ = Scratch(rows.sparkSession).keep(rows.groupBy(group, F.col(value).alias("_v")).agg(F.count("*").alias("_n")))
+    scratch, key = Scratch(rows.sparkSession), F.col(group)
+    all_ = scratch.keep(rows.groupBy(group, F.col(value).alias("_v")).agg(F.count("*").alias("_n")))
     counts = all_.where("_v is not null")
     steps = [i / buckets for i in range(1, buckets)]
-    cuts = counts.groupBy(group).agg(F.percentile_approx("_v", steps, 10 * buckets).alias("_cuts"))
+    cuts = counts.groupBy(key.alias("_g")).agg(F.percentile_approx("_v", steps, 10 * buckets).alias("_cuts"))
+    # written, since approximate quantiles may change between their two uses with the order in which blocks arrive
+    cuts = scratch.keep(cuts)
     below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    placed = counts.join(cuts, group).withColumn("_b", below).drop("_cuts")
+    placed = counts.join(cuts, key.eqNullSafe(F.col("_g"))).withColumn("_b", below).drop("_cuts", "_g")
 
     w = W.partitionBy(group)
     # at most one row a bucket and group
@@ -44,13 +47,15 @@ def nearest_ranks(rows: DataFrame, group: str, value: str, percents: list[int],
         sums.withColumn("_p", F.explode(F.array(*map(F.lit, percents))))
         .withColumn("_at", place - (F.col("_end") - F.col("_sum")))
         .where("_at >= 0 and _at < _sum")
-        .select(group, "_b", "_p", "_at")
+        .select(key.alias("_g"), F.col("_b").alias("_in"), "_p", "_at")
     )
     end = F.sum("_n").over(W.partitionBy(group, "_b", "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
-    found = placed.join(wanted, [group, "_b"]).withColumn("_upto", end).where("_at < _upto and _at >= _upto - _n")
+    own = key.eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_in"))
+    found = placed.join(wanted, own).withColumn("_upto", end).where("_at < _upto and _at >= _upto - _n")
     of = lambda p: F.max(F.when(F.col("_p") == p, F.col("_v")))
-    values = found.groupBy(group).agg(*[of(p).alias(f"p{p}") for p in percents])
-    return all_.select(group).distinct().join(values, group, "left").na.fill(0.0, [f"p{p}" for p in percents])
+    values = found.groupBy(key.alias("_g")).agg(*[of(p).alias(f"p{p}") for p in percents])
+    groups = all_.select(group).distinct().join(values, key.eqNullSafe(F.col("_g")), "left").drop("_g")
+    return groups.na.fill(0.0, [f"p{p}" for p in percents])
 
 
 def ema(rows: DataFrame, group: str, order: str, value: str, alpha: float = ALPHA) -> DataFrame:

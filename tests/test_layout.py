@@ -231,3 +231,17 @@ def test_encoded_records(spark):
 def test_json_text_of_any_line(spark):
     assert one(spark, scalar.json_text(F.lit("a\u2028b\u0085"))) == '"a\u2028b\u0085"'
     assert one(spark, scalar.json_text(F.lit(None).cast("string"))) is None
+@pytest.mark.parametrize("group", ["a", None])
+def test_percentiles_cut_once(spark, monkeypatch, group):
+    """Approximate quantiles that come out otherwise each time they are asked
+    for, as they may on several executors, change no percentile."""
+    approx = F.percentile_approx
+    chance = F.expr("cast(reflect('java.lang.Math', 'random') AS double)")
+    noise = lambda v, steps, accuracy: F.transform(approx(v, steps, accuracy), lambda c: c + chance)
+    monkeypatch.setattr(aggregates.F, "percentile_approx", noise)
+    df = spark.range(1000).select(F.lit(group).cast("string").alias("g"), (F.col("id") / 1000).alias("v"))
+    for _ in range(3):
+        got = {r.g: (r.p0, r.p50, r.p99) for r in aggregates.nearest_ranks(df, "g", "v", [0, 50, 99], 16).collect()}
+        assert got == {group: (0.0, 0.5, 0.99)}
+
+
