@@ -19,8 +19,9 @@ MODE_KINDS = {0o040000: "directory", 0o100000: "file", 0o120000: "symlink"}
 
 
 def hex_key(n: Column) -> Column:
-    """A 32-bit number as eight hexadecimal digits."""
-    return F.lower(F.lpad(F.hex(n), 8, "0"))
+    """A number as eight hexadecimal digits, or as more if it is over 32 bits."""
+    digits = F.hex(n)
+    return F.lower(F.lpad(digits, F.greatest(F.lit(8), F.length(digits)), F.lit("0")))
 
 
 def long_key(prefix: int, *numbers: Column) -> Column:

@@ -194,6 +194,12 @@ def test_texts(spark):
 
 
 def test_nearest_ranks_and_ema(spark):
+def test_hex_keys_over_32_bits(spark):
+    n = [0, 255, 2**32 - 1, 2**32, 70000 * 65536, 2**62]
+    df = spark.createDataFrame([(x,) for x in [*n, None]], "n long")
+    assert [r.k for r in df.select(scalar.hex_key(F.col("n")).alias("k")).collect()] == [f"{x:08x}" for x in n] + [None]
+
+
     values = [5.0, 1.0, 3.0, 3.0, 9.0, -1.0, 4.0]
     df = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)] + [("none", 0, None)], "g string, i long, v double")
     got = {r.g: (r.p0, r.p50, r.p100) for r in aggregates.nearest_ranks(df, "g", "v", [0, 50, 100]).collect()}
