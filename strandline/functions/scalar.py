@@ -60,8 +60,14 @@ def epoch_seconds(ts: Column) -> Column:
 
 def human_size(n: Column) -> Column:
     """A size with one decimal, ties to even, in GB, MB or KB of 1024s, or in
-    whole bytes."""
-    shown = lambda bits, unit: F.format_string(f"%.1f {unit}", F.bround(n / float(1 << bits), 1))
+    whole bytes; ``n`` is a whole number of any type."""
+
+    def shown(bits: int, unit: str) -> Column:
+        size = n.cast("double") / float(1 << bits)
+        rest = size % 1.0  # at most 30 bits, so that ten times it is exact
+        tenths = F.rint(rest * 10)
+        return F.format_string(f"%.0f.%.0f {unit}", size - rest + F.floor(tenths / 10), tenths % 10)
+
     out = F.when(n >= 1 << 30, shown(30, "GB"))
     for bits, unit in ((20, "MB"), (10, "KB")):
         out = out.when(n >= 1 << bits, shown(bits, unit))

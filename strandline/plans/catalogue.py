@@ -690,7 +690,10 @@ def byte_range_parse(spark, d):
   ELSE printf('%d B', b) END AS size FROM (SELECT o_orderkey, CAST(o_orderkey * o_orderkey * o_orderkey AS BIGINT) AS b FROM orders)""",
 )
 def human_sizes(spark, d):
-    b = F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_orderkey")
+    """Cubes of keys as sizes; from the key 2,097,152 they are over 64 bits,
+    where the SQL stops with an error."""
+    key = F.col("o_orderkey").cast("decimal(19,0)")
+    b = key * key * key
     return table(spark, d, "orders").select("o_orderkey", scalar.human_size(b).alias("size"))
 
 

@@ -2,12 +2,14 @@
 
 import itertools
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import aggregates, erasure, scalar
 from strandline.operators import blocks, files
+from strandline.plans import catalogue
 from strandline.sources import records
 
 
@@ -163,6 +165,25 @@ def test_scalars(spark):
     assert x(aggregates.average_ms(F.lit(3_000_000), F.lit(2))) == 1.5 and x(aggregates.average_ms(F.lit(0), F.lit(0))) == 0
 
 
+def test_sizes_of_any_number(spark):
+    """Sizes over 64 bits, and those whose shortest digits look like a tie."""
+    n = [1280, 1792, 1048575, 5 << 28, 2**53 + 1, 1231429**3, 2097151**3, 9_000_000**3]
+    n += [(x << 30) + round(y * 2**30) for x in range(1 << 20, (1 << 20) + 3) for y in (0.05, 0.15, 0.25, 0.35, 0.95)]
+    df = spark.createDataFrame([(Decimal(x),) for x in n], "n decimal(38,0)")
+
+    def want(x):
+        bits, unit = next((b, u) for b, u in ((30, "GB"), (20, "MB"), (10, "KB")) if x >= 1 << b)
+        return f"{float(x) / (1 << bits):.1f} {unit}"
+
+    assert [r.s for r in df.select(scalar.human_size(F.col("n")).alias("s")).collect()] == list(map(want, n))
+
+
+def test_human_sizes_of_large_keys(spark, tmp_path):
+    spark.range(2_097_150, 2_097_155).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.size for r in catalogue.queries()["human_sizes"](spark, str(tmp_path)).collect()}
+    assert got == {k: f"{k**3 / 2**30:.1f} GB" for k in range(2_097_150, 2_097_155)}
+
+
 def test_percentiles_of_many_values(spark):
     rng = random.Random(8)
     rows = [(g, rng.choice([rng.random(), round(rng.random(), 1)])) for g in "ab" for _ in range(4000)]
@@ -173,6 +194,12 @@ def test_percentiles_of_many_values(spark):
         assert got[g] == (s[0], s[37 * 40], s[99 * 40], s[-1])
 
 
+def test_hex_keys_over_32_bits(spark):
+    n = [0, 255, 2**32 - 1, 2**32, 70000 * 65536, 2**62]
+    df = spark.createDataFrame([(x,) for x in [*n, None]], "n long")
+    assert [r.k for r in df.select(scalar.hex_key(F.col("n")).alias("k")).collect()] == [f"{x:08x}" for x in n] + [None]
+
+
 def test_derived_keys(spark):
     keys = ["v.mp4", ".hls/v.mp4/index.m3u8", ".hls/v.mp4/0.ts", ".thumb/320/v.mp4", "w.mp4", ".thumb/64/w.mp4"]
     df = spark.createDataFrame([(k,) for k in keys], "k string")
@@ -194,12 +221,6 @@ def test_texts(spark):
 
 
 def test_nearest_ranks_and_ema(spark):
-def test_hex_keys_over_32_bits(spark):
-    n = [0, 255, 2**32 - 1, 2**32, 70000 * 65536, 2**62]
-    df = spark.createDataFrame([(x,) for x in [*n, None]], "n long")
-    assert [r.k for r in df.select(scalar.hex_key(F.col("n")).alias("k")).collect()] == [f"{x:08x}" for x in n] + [None]
-
-
     values = [5.0, 1.0, 3.0, 3.0, 9.0, -1.0, 4.0]
     df = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)] + [("none", 0, None)], "g string, i long, v double")
     got = {r.g: (r.p0, r.p50, r.p100) for r in aggregates.nearest_ranks(df, "g", "v", [0, 50, 100]).collect()}
@@ -211,6 +232,20 @@ def test_hex_keys_over_32_bits(spark):
     assert aggregates.ema(df, "g", "i", "v").first().ema == pytest.approx(e)
 
 
+@pytest.mark.parametrize("group", ["a", None])
+def test_percentiles_cut_once(spark, monkeypatch, group):
+    """Approximate quantiles that come out otherwise each time they are asked
+    for, as they may on several executors, change no percentile."""
+    approx = F.percentile_approx
+    chance = F.expr("cast(reflect('java.lang.Math', 'random') AS double)")
+    noise = lambda v, steps, accuracy: F.transform(approx(v, steps, accuracy), lambda c: c + chance)
+    monkeypatch.setattr(aggregates.F, "percentile_approx", noise)
+    df = spark.range(1000).select(F.lit(group).cast("string").alias("g"), (F.col("id") / 1000).alias("v"))
+    for _ in range(3):
+        got = {r.g: (r.p0, r.p50, r.p99) for r in aggregates.nearest_ranks(df, "g", "v", [0, 50, 99], 16).collect()}
+        assert got == {group: (0.0, 0.5, 0.99)}
+
+
 def test_ema_of_any_alpha(spark):
     rng = random.Random(2)
     values = [rng.random() + 0.1 for _ in range(5000)]
@@ -237,17 +272,3 @@ def test_encoded_records(spark):
 def test_json_text_of_any_line(spark):
     assert one(spark, scalar.json_text(F.lit("a\u2028b\u0085"))) == '"a\u2028b\u0085"'
     assert one(spark, scalar.json_text(F.lit(None).cast("string"))) is None
-@pytest.mark.parametrize("group", ["a", None])
-def test_percentiles_cut_once(spark, monkeypatch, group):
-    """Approximate quantiles that come out otherwise each time they are asked
-    for, as they may on several executors, change no percentile."""
-    approx = F.percentile_approx
-    chance = F.expr("cast(reflect('java.lang.Math', 'random') AS double)")
-    noise = lambda v, steps, accuracy: F.transform(approx(v, steps, accuracy), lambda c: c + chance)
-    monkeypatch.setattr(aggregates.F, "percentile_approx", noise)
-    df = spark.range(1000).select(F.lit(group).cast("string").alias("g"), (F.col("id") / 1000).alias("v"))
-    for _ in range(3):
-        got = {r.g: (r.p0, r.p50, r.p99) for r in aggregates.nearest_ranks(df, "g", "v", [0, 50, 99], 16).collect()}
-        assert got == {group: (0.0, 0.5, 0.99)}
-
-
