@@ -17,6 +17,9 @@ MEDIA = {
 MODE_FORMAT = 0o170000
 MODE_KINDS = {0o040000: "directory", 0o100000: "file", 0o120000: "symlink"}
 
+#: Bits of a block of a bloom filter, and of a filter that tasks get whole (8 MB).
+BLOOM_BLOCK, BLOOM_BROADCAST = 4096, 1 << 26
+
 
 def hex_key(n: Column) -> Column:
     """A number as eight hexadecimal digits, or as more if it is over 32 bits."""
@@ -137,21 +140,52 @@ def bloom_shape(n: int, rate: float) -> tuple[int, int]:
     return bits, max(1, round(bits / max(1, n) * math.log(2)))
 
 
-def bloom_places(key: Column, bits: int, hashes: int) -> Column:
-    """The places of a key: two hashes, combined."""
-    a, b = F.pmod(F.xxhash64(key), F.lit(bits)), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(bits))
-    return F.array(*[F.pmod(a + b * i, F.lit(bits)) for i in range(hashes)])
+def _bloom_blocks(bits: int) -> tuple[int, int]:
+    """Blocks of a filter of ``bits``, and bits of each, in whole words."""
+    blocks = max(1, -(-bits // BLOOM_BLOCK))
+    return blocks, -(-bits // (64 * blocks)) * 64
 
 
-def bloom_built(keys: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """A filter over keys (k) as one row of places set; for tables of a few
-    hundred keys a block, as tables are here."""
-    each = keys.select(F.explode(bloom_places(F.col("k"), bits, hashes)).alias("p")).distinct()
-    return each.agg(F.collect_set("p").alias("places"))
+def bloom_places(key: Column, bits: int, hashes: int) -> list[Column]:
+    """The places of a key in its block: two hashes, combined."""
+    _, own = _bloom_blocks(bits)
+    a, b = F.pmod(F.xxhash64(key), F.lit(own)), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(own))
+    return [F.pmod(a + b * i, F.lit(own)) for i in range(hashes)]
+
 
+def _bloom_block(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(2)), F.lit(_bloom_blocks(bits)[0]))
 
-def may_contain(key: Column, places: Column, bits: int, hashes: int) -> Column:
-    return F.forall(bloom_places(key, bits, hashes), lambda p: F.array_contains(places, p))
+
+def bloom_built(keys: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """A filter over keys (k): block, words (64 bits each).
+
+    A key belongs to one block, so that filters of any size are rows of at most
+    BLOOM_BLOCK bits.
+    """
+    words = _bloom_blocks(bits)[1] // 64
+    each = keys.select(_bloom_block(F.col("k"), bits).alias("block"), F.explode(F.array(*bloom_places(F.col("k"), bits, hashes))).alias("_p"))
+    bit = F.expr("shiftleft(1L, cast(_p % 64 AS int))")
+    some = each.groupBy("block", F.expr("cast(_p div 64 AS int)").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    of = F.map_from_entries(F.collect_list(F.struct("_word", "_bits")))  # at most BLOOM_BLOCK / 64 entries
+    all_ = F.sequence(F.lit(0), F.lit(words - 1))
+    return some.groupBy("block").agg(of.alias("_of")).select(
+        "block", F.transform(all_, lambda i: F.coalesce(F.try_element_at("_of", i), F.lit(0).cast("long"))).alias("words")
+    )
+
+
+def bloom_asked(asked: DataFrame, filter_: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """``asked`` (k, ...) with hit: whether the filter may contain the key.  A
+    key meets its block only, and each of its places one word of that.  Up to
+    BLOOM_BROADCAST bits are sent to all tasks."""
+    few = F.broadcast(filter_) if bits <= BLOOM_BROADCAST else filter_
+    met = asked.join(few.withColumnRenamed("block", "_block"), _bloom_block(F.col("k"), bits) == F.col("_block"), "left")
+    hit = F.lit(True)
+    for p in bloom_places(F.col("k"), bits, hashes):
+        word = F.get("words", F.floor(p / 64).cast("int"))
+        hit = hit & (F.getbit(word, (p % 64).cast("int")) == 1)
+    # a block without keys has no row
+    return met.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("_block", "words")
 
 
 def load_key(low: Column, tag: str, thread: Column, n: Column) -> Column:

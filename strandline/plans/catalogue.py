@@ -722,10 +722,10 @@ def bloom_no_false_negatives(spark, d):
     made of and for as many others as there are orders; it may give thrice that."""
     keys = events_log(spark, d).select("k").distinct()
     bits, hashes = scalar.bloom_shape(keys.count(), 0.01)
-    filter_ = scalar.bloom_built(keys, bits, hashes)  # one row of at most ``bits`` places
+    filter_ = scalar.bloom_built(keys, bits, hashes)
     others = table(spark, d, "orders").select(F.format_string("other%d", "o_orderkey").alias("k"), F.lit(False).alias("has"))
     asked = keys.withColumn("has", F.lit(True)).union(others)
-    tested = asked.join(F.broadcast(filter_)).withColumn("hit", scalar.may_contain(F.col("k"), F.col("places"), bits, hashes))
+    tested = scalar.bloom_asked(asked, filter_, bits, hashes)
     return tested.groupBy("has").agg(
         F.count("*").alias("asked"),
         F.count_if(F.col("has") & ~F.col("hit")).alias("wrong_absent"),

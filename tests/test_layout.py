@@ -200,6 +200,21 @@ def test_hex_keys_over_32_bits(spark):
     assert [r.k for r in df.select(scalar.hex_key(F.col("n")).alias("k")).collect()] == [f"{x:08x}" for x in n] + [None]
 
 
+@pytest.mark.parametrize("n", [30, 60000])
+def test_bloom_filters(spark, monkeypatch, n):
+    """No key is missed, few others are hit, by blocks sent to all tasks and by
+    blocks that keys are dealt to; a key reads a word for each of its places."""
+    keys = spark.range(n).select(F.format_string("k%d", "id").alias("k"))
+    others = spark.range(20000).select(F.format_string("other%d", "id").alias("k"))
+    bits, hashes = scalar.bloom_shape(n, 0.01)
+    for most in (scalar.BLOOM_BROADCAST, 0):
+        monkeypatch.setattr(scalar, "BLOOM_BROADCAST", most)
+        filter_ = scalar.bloom_built(keys, bits, hashes)
+        assert filter_.select(F.max(F.size("words"))).first()[0] <= scalar.BLOOM_BLOCK // 64
+        assert scalar.bloom_asked(keys, filter_, bits, hashes).where("not hit").count() == 0
+        assert scalar.bloom_asked(others, filter_, bits, hashes).where("hit").count() <= 0.02 * 20000
+
+
 def test_derived_keys(spark):
     keys = ["v.mp4", ".hls/v.mp4/index.m3u8", ".hls/v.mp4/0.ts", ".thumb/320/v.mp4", "w.mp4", ".thumb/64/w.mp4"]
     df = spark.createDataFrame([(k,) for k in keys], "k string")
