@@ -55,10 +55,14 @@ def route_join(rows: DataFrame, ranges: DataFrame, key: str = "k", few: int = FE
 
     Up to ``few`` starts, evenly spread over the ranges, cut the keys into
     buckets; a range is in each bucket that it touches.  Rows and ranges meet by
-    bucket, so that no row is compared with all ranges.
+    bucket, so that no row is compared with all ranges.  Where buckets would
+    have more than BLOCK starts each, keys and ranges meet by the keys' places
+    in order instead.
     """
     n = ranges.count()
     every = max(1, -(-n // max(1, few)))
+    if every > BLOCK:
+        return _route_by_place(rows, ranges, key)
     place = F.row_number().over(W.orderBy("low")) - 1  # of ranges: metadata, one row a partition of a store
     starts = ranges.select("low").distinct().withColumn("_i", place).where(F.col("_i") % every == 0)
     lows = sorted(r["low"] for r in starts.collect()) or [""]
@@ -70,6 +74,37 @@ def route_join(rows: DataFrame, ranges: DataFrame, key: str = "k", few: int = FE
     return here.join(held, same).drop("_at", "_bucket")
 
 
+def _route_by_place(rows: DataFrame, ranges: DataFrame, key: str, chunk: int = 4096) -> DataFrame:
+    """The same by equality alone: distinct keys and the ends of ranges are
+    sorted together into ranges of the key space and the keys numbered; a range
+    holds the keys from its start's number to its end's, each of which some row
+    has.
+    """
+    scratch, zero = Scratch(rows.sparkSession), F.lit(0).cast("long")
+    ends = ranges.select(F.explode(F.array("low", "high")).alias("_k"), zero.alias("_n"))
+    points = rows.select(F.col(key).alias("_k"), (zero + 1).alias("_n")).union(ends).where("_k is not null")
+    points = points.groupBy("_k").agg(F.max("_n").alias("_n"))
+    # written, since a part's number must not change between its two uses
+    cut = scratch.keep(points.repartitionByRange("_k").withColumn("_cut", F.spark_partition_id()))
+    before = F.sum("_n").over(W.orderBy("_c").rowsBetween(W.unboundedPreceding, -1))  # one row a partition of the sort
+    starts = cut.groupBy(F.col("_cut").alias("_c")).agg(F.sum("_n").alias("_n")).select("_c", before.alias("_before"))
+    so_far = F.sum("_n").over(W.partitionBy("_cut").orderBy("_k").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+    numbered = cut.withColumn("_own", so_far).join(F.broadcast(starts), F.col("_cut") == F.col("_c"))
+    numbered = scratch.keep(numbered.select("_k", "_n", (F.col("_own") + F.coalesce("_before", zero)).alias("_at")))
+    total = cut.agg(F.coalesce(F.sum("_n"), zero)).first()[0]
+
+    end = lambda c: numbered.select(F.col("_k").alias("_" + c), F.col("_at").alias("_at_" + c))
+    held = ranges.join(end("low"), F.col("low") == F.col("_low")).join(end("high"), F.col("high") == F.col("_high"))
+    last = F.when(F.col("high") == "", F.lit(total).cast("long")).otherwise(F.col("_at_high")) - 1
+    held = held.select(*ranges.columns, F.col("_at_low").alias("_first"), last.alias("_last")).where("_first <= _last")
+    # in chunks, so that no array grows with the keys of a range
+    held = held.withColumn("_chunk", F.explode(F.sequence(F.col("_first"), F.col("_last"), F.lit(chunk).cast("long"))))
+    held = held.withColumn("_at", F.explode(F.sequence(F.col("_chunk"), F.least(F.col("_chunk") + (chunk - 1), F.col("_last")))))
+    # each of these pairs has a row at least
+    pairs = numbered.where("_n = 1").select("_k", "_at").join(held.drop("_first", "_last", "_chunk"), "_at").drop("_at")
+    return rows.join(pairs, F.col(key) == F.col("_k")).drop("_k")
+
+
 def route_key(lows: list[str], key: str) -> int:
     """The same for one key on the driver."""
     return bisect_right(lows, key) - 1

@@ -42,6 +42,26 @@ def test_routing_by_many_ranges(spark):
     assert {r.k: r.p for r in df.select("k", P.route(df, lows).alias("p")).collect()} == {k: P.route_key(lows, k) for k in rows}
 
 
+def test_routing_by_places(spark):
+    """Ranges that overlap, leave gaps, are empty or open, too many for
+    buckets, meet keys by equality; keys and ends may be null."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abc", k=rng.randint(0, 5)))
+    rows = [word() for _ in range(300)] + [None]
+    ranges = [(i, *sorted((word(), word()))) for i in range(300)] + [(300, "b", ""), (301, "", ""), (302, "c", "a"), (303, None, "b"), (304, "a", None)]
+    df = spark.createDataFrame(list(enumerate(rows)), "n int, k string")
+    table = spark.createDataFrame(ranges, "part int, low string, high string")
+    held = [(p, a, b) for p, a, b in ranges if a is not None and b is not None]
+    want = sorted((n, k, p) for n, k in enumerate(rows) if k is not None for p, a, b in held if a <= k and (not b or k < b))
+    got = P.route_join(df, table, few=2)
+    assert sorted(got.columns) == sorted(["n", "k", "part", "low", "high"])
+    assert sorted((r.n, r.k, r.part) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "Join Inner, (k" in plan and "_bucket" not in plan
+    few = P._route_by_place(df, table, "k", chunk=7)
+    assert sorted((r.n, r.k, r.part) for r in few.collect()) == want
+
+
 def test_key_at_rank(spark):
     rng = random.Random(3)
     keys = sorted({"".join(rng.choices("abc", k=rng.randint(0, 6))) for _ in range(400)})
