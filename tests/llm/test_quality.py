@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import quality as Q
 
@@ -85,3 +86,40 @@ def test_no_labels(spark):
     model = Q.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert {r.doc_id: r.kept for r in Q.quality_verdicts(docs, model).collect()} == {1: False, 2: True}
     assert Q.quality_verdicts(docs.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("n", [20, 3000])
+def test_thresholds_of_tables(spark, n):
+    """The threshold of a table is that of its rows on arrays."""
+    rng = np.random.default_rng(n)
+    good = rng.random(n) < 0.6
+    score = np.round(rng.random(n) * np.where(good, 0.5, 0.9), 3) + 1e-12 * rng.integers(0, 3, n)
+    df = spark.createDataFrame(list(zip(good.tolist(), score.tolist())), "good boolean, score double")
+    for rejected in (0.0, 0.002, 0.1, 0.5):
+        assert Q.threshold(df, rejected) == Q.calibrate(score, good, rejected)
+    assert Q.threshold(df.where("good")) == Q.calibrate(score[good], good[good])
+    assert Q.threshold(df.withColumn("score", F.lit(0.25))) == 0.25
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_fit_of_all_labelled_rows(spark, monkeypatch, few):
+    """More labelled rows than were once fitted on, each of which counts: one
+    good row sets the box, and the threshold lets all but the share pass."""
+    monkeypatch.setattr(Q, "FEW_IDS", few)
+    n = 17000
+    text = lambda i: " ".join(f"{x:x}" for x in range(i, i + 60))
+    rows = [(i, text(i)) for i in range(n)]
+    # of greatest hash, so that a bounded fit by hash would not see it
+    last = spark.range(n).orderBy(F.xxhash64("id").desc()).first().id
+    rows[last] = (last, " ".join(["ABCDEF#!"] * 20 + [f"{x:x}" for x in range(40)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = Q.fit(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    boxes = []
+    monkeypatch.setattr(Q.IsolationForest, "fit", classmethod(lambda cls, x, box=None: boxes.append((len(x), box)) or Q.IsolationForest([], 1.0)))
+    Q.fit(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    x = Q.features(np.array([Q.rule_counts(t) for _, t in rows], np.int64))
+    assert boxes[0][0] == n // 2
+    assert (boxes[0][1][0] == x.min(axis=0)).all() and (boxes[0][1][1] == x.max(axis=0)).all()
+    score = model.forest.score(x)
+    assert model.threshold == Q.calibrate(score, np.ones(n, bool))
+    assert (score > model.threshold).sum() <= Q.GOOD_REJECTED * n
